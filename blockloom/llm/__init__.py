@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from types import ModuleType
 
+from blockloom.llm import distinct_queries, frequent_queries
+
 
 def modules() -> list[ModuleType]:
     """Modules with QUERIES and ORACLE."""
-    return []
+    return [distinct_queries, frequent_queries]
