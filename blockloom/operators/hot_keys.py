@@ -62,20 +62,26 @@ def segment_pairs(rows: DataFrame, max_gap: int = 3, segment: int = 256) -> Data
 
 
 def eager_join(left: DataFrame, right: DataFrame, key: str, left_sums: dict[str, Column], right_sums: dict[str, Column]) -> DataFrame:
-    """COUNT and SUMs over `left JOIN right USING (key)` per key, without forming the pairs.
+    """COUNT and SUMs over `left LEFT JOIN right USING (key)` per key of left, without forming the pairs.
 
     Both inputs are first aggregated by the key (partially before the shuffle, so a
     key holding most rows sends one row per task), then the states are joined and
     combined: n_pairs is the product of the counts, and each sum counts once per
-    partner. Result: key, n_left, n_right, n_pairs, then the sums by name. Null keys
-    join nothing; null values add nothing; a sum without any value is null.
+    partner. Result: key, n_left, n_right, n_pairs, then the sums by name. A key
+    without partner has n_right and n_pairs 0 and zero sums. Null keys are left out;
+    null values add nothing; a sum over nulls only is 0.
     """
-    a = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_left"), *[F.sum(c).alias(n) for n, c in left_sums.items()])
+    zero = F.lit(0)
+    a = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_left"), *[F.coalesce(F.sum(c), zero).alias(n) for n, c in left_sums.items()])
     b = right.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_right"), *[F.sum(c).alias(n) for n, c in right_sums.items()])
-    wide = F.col("n_left").cast("decimal(38,0)") * F.col("n_right").cast("decimal(18,0)")
-    return a.join(b, key).select(
-        key, "n_left", "n_right", wide.cast("decimal(38,0)").alias("n_pairs"),
-        *[(F.col(n) * F.col("n_right")).alias(n) for n in left_sums], *[(F.col(n) * F.col("n_left")).alias(n) for n in right_sums],
+    n_right = F.coalesce("n_right", zero)
+
+    def wide(x: Column, y: Column) -> Column:
+        return x.cast("decimal(20,0)") * y.cast("decimal(18,0)")
+
+    return a.join(b, key, "left").select(
+        key, "n_left", n_right.alias("n_right"), wide(F.col("n_left"), n_right).alias("n_pairs"),
+        *[wide(F.col(n), n_right).alias(n) for n in left_sums], *[wide(F.coalesce(n, zero), F.col("n_left")).alias(n) for n in right_sums],
     )
 
 

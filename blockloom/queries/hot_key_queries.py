@@ -18,16 +18,14 @@ def _rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Per address: its incoming times its outgoing rows."""
-    gas = H.number_long(F.col("gas"))
-    txns = table(spark, base, "txns")
-    incoming = txns.select(H.address(F.col("to_addr")).alias("address"), gas.alias("gas"))
-    outgoing = txns.select(H.address(F.col("from_addr")).alias("address"), gas.alias("gas"))
-    return eager_join(incoming, outgoing, "address", {"gas_in": F.col("gas")}, {"gas_out": F.col("gas")})
+    """Per recipient: its transaction rows times the log rows it emitted."""
+    incoming = table(spark, base, "txns").select(H.address(F.col("to_addr")).alias("address"), H.number_long(F.col("gas")).alias("gas"))
+    emitted = table(spark, base, "logs").select(H.bytes_key(F.col("contract_address")).alias("address"), F.length("data").cast("bigint").alias("bytes"))
+    return eager_join(incoming, emitted, "address", {"pair_gas": F.col("gas")}, {"pair_bytes": F.col("bytes")})
 
 
 def p6_method(spark: SparkSession, base: str) -> DataFrame:
-    return _pairs(spark, base).select("address", "n_left", "n_right", F.col("n_pairs").cast("bigint").alias("n_pairs"), "gas_in", "gas_out")
+    return _pairs(spark, base).select("address", "n_left", "n_right", *[F.col(c).cast("bigint").alias(c) for c in ("n_pairs", "pair_gas", "pair_bytes")])
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
@@ -38,7 +36,7 @@ def p6_rollup(spark: SparkSession, base: str) -> DataFrame:
     """Pairs by the size of the address, rolled up from the joined states."""
     per = _pairs(spark, base)
     decade = F.length((F.col("n_left") + F.col("n_right")).cast("string"))
-    return rollup_pairs(per, decade, ["gas_in", "gas_out"]).select("grp", "n_keys", *[F.col(c).cast("bigint").alias(c) for c in ("n_pairs", "gas_in", "gas_out")])
+    return rollup_pairs(per, decade, ["pair_gas", "pair_bytes"]).select("grp", "n_keys", *[F.col(c).cast("bigint").alias(c) for c in ("n_pairs", "pair_gas", "pair_bytes")])
 
 
 _D = "regexp_replace(lower({}), '^(0x|\\\\x)', '')"
@@ -46,8 +44,9 @@ _ADDR = "'0x' || nullif(" + _D + ", '')"
 _LONG = "('0x' || " + _D + ")::BIGINT"
 _PAIRS = f"""
 WITH i AS (SELECT {_ADDR.format('to_addr')} address, count(*) n, sum({_LONG.format('gas')}) g FROM txns GROUP BY 1),
-o AS (SELECT {_ADDR.format('from_addr')} address, count(*) n, sum({_LONG.format('gas')}) g FROM txns GROUP BY 1),
-p AS (SELECT address, i.n n_left, o.n n_right, i.n * o.n n_pairs, (i.g * o.n)::BIGINT gas_in, (o.g * i.n)::BIGINT gas_out FROM i JOIN o USING (address))"""
+o AS (SELECT '0x' || lower(hex(contract_address)) address, count(*) n, sum(octet_length(data)) b FROM logs GROUP BY 1),
+p AS (SELECT address, i.n n_left, coalesce(o.n, 0) n_right, i.n * coalesce(o.n, 0) n_pairs, (i.g * coalesce(o.n, 0))::BIGINT pair_gas, (coalesce(o.b, 0) * i.n)::BIGINT pair_bytes
+  FROM i LEFT JOIN o USING (address) WHERE address IS NOT NULL)"""
 
 QUERIES = {"p6_method": p6_method, "p6_found": p6_found, "p6_rollup": p6_rollup}
 ORACLE = {
@@ -57,5 +56,5 @@ WITH t AS (SELECT DISTINCT '0x' || {_D.format('hash')} tx_hash, {_ADDR.format('t
   {_LONG.format('block_number')} b, {_LONG.format('transaction_index')} x FROM txns),
 w AS (SELECT *, lag(m) OVER k pm, lag(b) OVER k pb FROM t WHERE k IS NOT NULL WINDOW k AS (PARTITION BY k ORDER BY b, x, tx_hash))
 SELECT DISTINCT tx_hash FROM w WHERE pm = m AND b - pb <= 3""",
-    "p6_rollup": _PAIRS + " SELECT length((n_left + n_right)::VARCHAR)::INT grp, count(*) n_keys, sum(n_pairs)::BIGINT n_pairs, sum(gas_in)::BIGINT gas_in, sum(gas_out)::BIGINT gas_out FROM p GROUP BY 1",
+    "p6_rollup": _PAIRS + " SELECT length((n_left + n_right)::VARCHAR)::INT grp, count(*) n_keys, sum(n_pairs)::BIGINT n_pairs, sum(pair_gas)::BIGINT pair_gas, sum(pair_bytes)::BIGINT pair_bytes FROM p GROUP BY 1",
 }
