@@ -47,7 +47,8 @@ def changed_since(entries: DataFrame, snapshots: DataFrame, key: Sequence[str],
     one aggregation by key, so the anti-join needs no further shuffle of entries.
     """
     # the last run's snapshots: one row per table of the ledger, small by nature
-    marked = entries.join(snapshots, "table_name", "left").withColumn("_seen", F.coalesce(F.col(at) <= F.col("snapshot"), F.col(at).isNull()))
+    picked = entries.select(*dict.fromkeys([*key, "table_name", at, tie, *compared]))
+    marked = picked.join(snapshots.select("table_name", "snapshot"), "table_name", "left").withColumn("_seen", F.coalesce(F.col(at) <= F.col("snapshot"), F.col(at).isNull()))
     state = F.struct(F.col(at), F.col(tie), checksum(compared).alias("checksum"), *[F.col(c) for c in compared])
     both = marked.groupBy(*key).agg(F.max(F.when(F.col("_seen"), state)).alias("_manifest"), F.max(state).alias("_listing"), F.max_by("_seen", state).alias("_old"))
     listing = both.filter(~F.col("_old")).select(*key, F.col("_listing.*"), F.col("_manifest.checksum").alias("_done"))
@@ -113,7 +114,8 @@ class Ledger:
 def file_listing(spark, folder: str) -> DataFrame:
     """location, byte_count and checksum of each file below a local folder.
 
-    The contents are hashed by the executors.
+    The contents are hashed by the executors, a file of up to 2 GB at a time. Files of
+    no bytes hold no records and are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(local_path(folder))
     return files.select(F.col("path").alias("location"), F.col("length").alias("byte_count"), F.sha2("content", 256).alias("checksum"))

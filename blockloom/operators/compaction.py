@@ -17,12 +17,17 @@ from blockloom.operators.changes import newest
 from blockloom.session import scratch_path
 
 
+#: What opening a file counts for when splits are packed, in bytes. The reader's usual
+#: 4 MiB would fill a 128 MiB task with 32 tiny files; this lets it take up to 8192.
+OPEN_COST = 16 << 10
+
+
 def file_size(bytes_per_row: int = 200) -> Column:
     """Size by byte_count, else estimated from row_count, else null."""
     return F.coalesce("byte_count", F.lit(bytes_per_row) * F.col("row_count"))
 
 
-def plan_merges(entries: DataFrame, small: int = 1_000_000, target: int = 128 << 20, open_cost: int = 4 << 20, stretch: int = 50_000) -> DataFrame:
+def plan_merges(entries: DataFrame, small: int = 1_000_000, target: int = 128 << 20, open_cost: int = OPEN_COST, stretch: int = 50_000) -> DataFrame:
     """Small live files and the output file each goes to: `table_name, lower_bound,
     entry_id, location, size, row_count, bin, target_location`.
 
@@ -62,7 +67,7 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> tuple[int, int]:
     return int(row.n), int(row.x)
 
 
-def compact_folder(spark: SparkSession, source: str, target_bytes: int = 128 << 20, open_cost: int = 4 << 20, out: str | None = None) -> DataFrame:
+def compact_folder(spark: SparkSession, source: str, target_bytes: int = 128 << 20, open_cost: int = OPEN_COST, out: str | None = None) -> DataFrame:
     """Rewrite a parquet folder into fewer files and return the rewritten table.
 
     The engine's split packing does the work: with the maximum partition size at

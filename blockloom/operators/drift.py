@@ -217,5 +217,5 @@ def unify(records: DataFrame, vers: DataFrame, fields: Sequence[str]) -> DataFra
             yield pa.RecordBatch.from_arrays(cols, names=["record_id", "file_id", "line_no", "version", *fields, "rest", "issues"])
 
     # a version's steps repeat for each of its records only inside a batch, as one shared text
-    joined = records.join(vers.select("file_id", "version", "steps"), "file_id", "left")
+    joined = records.select("record_id", "file_id", "line_no", "payload").join(vers.select("file_id", "version", "steps"), "file_id", "left")
     return joined.select("record_id", "file_id", "line_no", F.col("version").cast("bigint"), "payload", "steps").mapInArrow(route, out)

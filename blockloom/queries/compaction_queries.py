@@ -30,7 +30,7 @@ _LIVE = """
 WITH live AS (SELECT *, coalesce(byte_count, 200 * row_count) size FROM block_partitions
   QUALIFY row_number() OVER (PARTITION BY table_name, lower_bound ORDER BY recorded_at DESC, entry_id DESC) = 1),
 plan AS (SELECT table_name, lower_bound, entry_id, location, size, row_count,
-  (coalesce(sum(size + 4194304) OVER (PARTITION BY table_name ORDER BY lower_bound, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 134217728)::BIGINT bin
+  (coalesce(sum(size + 16384) OVER (PARTITION BY table_name ORDER BY lower_bound, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 134217728)::BIGINT bin
   FROM live WHERE NOT coalesce(incomplete, false) AND size < 1000000)"""
 
 QUERIES = {"p7_method": p7_method, "p7_found": p7_found, "p7_plan": p7_plan, "p7_bins": p7_bins}
