@@ -151,17 +151,21 @@ def select_prefixes(docs: DataFrame, budgets: DataFrame, seed: int = 42, ranges:
     tokens stays within what is left, so a leaf's total is at most its budget and
     falls short by less than one document. Sums run over `ranges` ranges of the
     seeded order, each of which one task sums; the ranges' totals come first. Ties in
-    the order go by doc_id. Documents of no tokens take part in whole epochs only.
+    the order go by doc_id. A column `copies` of docs is replaced; rows without a budget's
+    leaf are left out. Documents of no tokens take part in whole epochs only.
     """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("_row")
+    budgets = budgets.select("leaf", "tokens", "budget")
+    ready = docs.select("leaf", "doc_id", "n_tokens", row).join(F.broadcast(budgets) if _small(budgets) else budgets, "leaf")
     whole = F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))).cast("bigint")
-    ready = docs.join(F.broadcast(budgets) if _small(budgets) else budgets, "leaf").withColumn("epochs", F.when(F.col("tokens") > 0, whole).otherwise(F.lit(0).cast("bigint")))
+    ready = ready.withColumn("epochs", F.when(F.col("tokens") > 0, whole).otherwise(F.lit(0).cast("bigint")))
     ready = ready.withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens")).withColumn("place", F.xxhash64(F.lit(seed), "epochs", "doc_id"))
     ready = ready.withColumn("range", F.shiftrightunsigned("place", 64 - (ranges.bit_length() - 1)))
     sums = ready.groupBy("leaf", "range").agg(F.sum("n_tokens").alias("_sum"))
     before = sums.withColumn("before", F.coalesce(F.sum("_sum").over(W.partitionBy("leaf").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     running = F.sum("n_tokens").over(W.partitionBy("leaf", "range").orderBy(F.col("place"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
     chosen = ready.withColumn("_run", running).join(before, ["leaf", "range"]).withColumn("copies", F.col("epochs") + ((F.col("before") + F.col("_run") <= F.col("left")) & (F.col("n_tokens") > 0)).cast("bigint"))
-    return chosen.select(*docs.columns, "copies")
+    return chosen.select("_row.*", "copies")
 
 
 def _small(df: DataFrame) -> bool:

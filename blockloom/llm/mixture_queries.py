@@ -38,7 +38,7 @@ def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, dict[str, tuple[flo
     tokens = _tokens(spark, base)
     tree, total, targets = _plan(spark, base, tokens)
     sizes = {(r.source, r.lang): r.n for r in tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()}
-    rows = [(f"{p[1]}/{p[2]}", sizes[p[1:]], leaf.budget) for p, leaf in tree.leaves()]
+    rows = [(f"{p[1]}/{p[2]}", sizes[p[1:]], leaf.budget) for p, leaf in tree.leaves() if len(p) == 3]
     budgets = spark.createDataFrame(rows, "leaf string, tokens bigint, budget double")
     return select_prefixes(tokens.withColumn("leaf", F.concat_ws("/", "source", "lang")), budgets), targets, total
 
