@@ -19,6 +19,7 @@ _CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
 _FIRST_BOUNDARY = re.compile(r"^--(\S.*)$", re.M)
 _UNSEEN = re.compile(r"<!--.*?-->|<(script|style|head|title)\b.*?</\1\s*>", re.I | re.S)
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u|wbr)(?:\s[^<>]*)?/?>", re.I)
+_LINE_END = re.compile(r"<br(?:\s[^<>]*)?/?>[ \t]*\n?", re.I)
 _TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]*>")
 #: At line starts: repeated > or |, each perhaps with up to three initials before it.
 _QUOTE = re.compile(r"^[ \t]*(?:[A-Za-z]{0,3}[>|][ \t]?)+", re.M)
@@ -62,7 +63,7 @@ def _decoded(head: str, body: str) -> str:
 
 
 def _without_tags(text: str) -> str:
-    text = _TAG.sub("\n", _INLINE.sub("", _UNSEEN.sub("\n", text)))
+    text = _TAG.sub("\n", _LINE_END.sub("\n", _INLINE.sub("", _UNSEEN.sub("\n", text))))
     return html.unescape(text) if "&" in text else text
 
 

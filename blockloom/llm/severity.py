@@ -34,13 +34,29 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _TOKEN = re.compile(r"\n|[^\W_][\w*@$!|€'’#]*(?:(?<=\*)[\w*]+)?|\*+\w+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
 _REPEAT = re.compile(r"([^\W\d_])\1+")
-_BREAK = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|:\s*\n|\n\s*\n|\n(?=\s*(?:==|[*•#-] |\d+[.)] ))")
+_BREAK = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|:\s*\n|\n\s*\n|\n(?=[ \t]+\S)|\n(?=\s*(?:==|[*•#-] |\d+[.)] ))")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
+#: Words of a unit at most; a longer sentence is read in windows that overlap by half.
+LONGEST = 24
+
+
 def sentences(text: str) -> list[str]:
-    """Sentences of one part: cut after . ! ? and at blank lines, headings and list marks; line ends are blanks."""
-    return [t for s in _BREAK.split(text) if (t := " ".join(s.split()))]
+    """Sentences of one part: cut after . ! ? and at blank lines, indents, headings and list marks; other line ends are blanks.
+
+    A sentence of more than `LONGEST` words (code, tables, lost full stops) gives its
+    windows instead, so that a short insult in it is not thinned out.
+    """
+    out = []
+    for s in _BREAK.split(text):
+        w = s.split()
+        if len(w) > LONGEST:
+            step = LONGEST // 2
+            out += [" ".join(w[i : i + LONGEST]) for i in range(0, len(w) - step, step)]
+        elif w:
+            out.append(" ".join(w))
+    return out
 
 
 def plain_text(text: str) -> str:
@@ -67,8 +83,7 @@ def spellings(raw: str) -> tuple[str | None, str] | None:
     if not plain:
         return None
     if "*" in plain:
-        head, tail = plain.index("*"), plain.rindex("*") + 1
-        return None, f"{plain[:1] if head else ''}**{_REPEAT.sub(r'\1', plain[tail:])}"
+        return None, f"{plain[0]}**{_REPEAT.sub(r'\1', plain[3:])}"
     once = _REPEAT.sub(r"\1", plain)
     return once, f"{plain[0]}**{_REPEAT.sub(r'\1', plain[3:])}" if len(plain) > 3 else once
 
