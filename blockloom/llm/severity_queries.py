@@ -9,7 +9,7 @@ from blockloom.llm.severity import score, train
 from blockloom.session import table
 
 #: Expected grade (of 0 to 2) from which a document counts as abusive.
-ABUSIVE = 1.4
+ABUSIVE = 1.25
 
 
 def _scored(spark: SparkSession, base: str, columns: list[str]) -> DataFrame:
