@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tomllib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.functions.ledger import register_current_block
 from blockloom.plans.pruning import is_pruner
+from blockloom.session import scratch_path
 from blockloom.sources.index_scan import pruned_partitions, scan_index
 from blockloom.sources.live import scan_live
 from blockloom.sources.manifest import Manifest
@@ -18,6 +20,10 @@ from blockloom.sources.storage import StorageConf, Store
 from blockloom.spec import BLOCKS_PER_PARTITION, ChainSpec
 
 
+#: Words that may follow a table name without being its alias.
+_AFTER_TABLE = "where|join|inner|left|right|full|cross|semi|anti|natural|lateral|on|using|group|order|having|limit|offset|union|intersect|except|window|tablesample|pivot|cluster|distribute|sort"
+
+
 @dataclass
 class Config:
     """Chains and stores, as read from TOML."""
@@ -85,6 +91,7 @@ class Engine:
         self.bounds = Bounds()
         self._stores: dict[StorageConf, Store] = {}
         self._heads: dict[str, int] = {}
+        self._empty: dict[str, str] = {}
 
     def add_chain(self, chain: ChainSpec, index: Manifest | None = None) -> None:
         """Register a chain, perhaps with an index; its head is frozen for current_block until `refresh`."""
@@ -151,42 +158,70 @@ class Engine:
         start, end = self.bounds.on_index(self.head(chain))
         return [p.location for p in pruned_partitions(self.spark, self.indexes[chain].table(table), filters, start, end)]
 
-    def sql(self, text: str) -> DataFrame:
-        """A query over `chain.table` names, or bare names of the default chain.
+    def information_schema(self) -> dict[str, DataFrame]:
+        """`tables` and `columns` of everything that can be queried."""
+        cols = [(c, t, f.name, i + 1, f.dataType.simpleString(), f.nullable) for c, t in self.tables() for i, f in enumerate(self.chains[c].entities[t].schema.fields)]
+        return {
+            "tables": self.spark.createDataFrame(self.tables(), "table_schema string, table_name string"),
+            "columns": self.spark.createDataFrame(cols, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean"),
+        }
 
-        Indexed tables only. The query is planned once over all files; conditions on
-        the block column that the optimizer has put on a table's scan then choose its
-        files, whatever their form, and the query is planned again over those.
+    def sql(self, text: str) -> DataFrame:
+        """A query over `chain.table` names, or bare names of the default chain; also
+        `information_schema.tables` and `.columns`, SHOW TABLES and DESCRIBE.
+
+        The query is planned once over all files. Conditions on the block column that
+        the optimizer has put on a table's scan then choose its files, whatever their
+        form, or, for a table without an index, the blocks to fetch; and the query is
+        planned again over those. A table without an index needs such a condition or a
+        window.
         """
-        names = [(c, t) for c in self.indexes for t in self.indexes[c].names()]
-        views = {f"{c}__{t}": (c, t) for c, t in names}
+        asked = re.fullmatch(r"\s*(?:show\s+tables|(?:describe|desc)\s+(?:table\s+)?([\w.`]+))\s*;?\s*", text, re.I)
+        if asked:
+            return self.describe(asked[1].replace("`", "")) if asked[1] else self.information_schema()["tables"]
         plain = text
-        for c, t in names:
-            plain = _name(plain, f"{c}.{t}", f"{c}__{t}")
-        used = [v for v, (_, t) in views.items() if v in plain or t in plain]
+        for name in ("tables", "columns"):
+            changed = _name(plain, f"information_schema.{name}", f"information_schema__{name}")
+            if changed != plain:
+                self.information_schema()[name].createOrReplaceTempView(f"information_schema__{name}")
+                plain = changed
+        views = {f"{c}__{t}": (c, t) for c, t in self.tables()}
+        for v, (c, t) in views.items():
+            plain = _name(plain, f"{c}.{t}", v)
+            if c == self.default:
+                plain = _name(plain, t, v, f" AS {t}")
+        used = [v for v in views if v in plain]
         for v in used:
-            self._view(v, ())
+            self._view(v, *views[v], None)
         df = self.spark.sql(plain)
         found = _scan_conditions(df)
         again = False
         for v in used:
             chain, table = views[v]
-            index = self.indexes[chain].table(table)
-            # a table that is scanned twice keeps the files of both scans
-            scans = found.get(v, [])
-            useful = [[c for c in s if is_pruner(self.spark, c, index.block_column)] for s in scans]
-            if useful and all(useful):
-                self._view(v, (" OR ".join("(" + " AND ".join(f"({c})" for c in s) + ")" for s in useful),), residual=False)
+            column = self.chains[chain].entities[table].block_column
+            # a table that is scanned twice keeps what either scan needs
+            useful = [[c for c in s if is_pruner(self.spark, c, column)] for s in found.get(v, [])]
+            condition = " OR ".join("(" + " AND ".join(f"({c})" for c in s) + ")" for s in useful) if useful and all(useful) else None
+            if condition is not None or not self._indexed(chain, table):
+                self._view(v, chain, table, condition or "")
                 again = True
         return self.spark.sql(plain) if again else df
 
-    def _view(self, view: str, filters: Sequence[str], residual: bool = True) -> None:
-        chain, table = view.split("__", 1)
-        index = self.indexes[chain].table(table)
-        start, end = self.bounds.on_index(self.head(chain))
-        if residual or not filters:
-            df = scan_index(self.spark, index, None, filters, None, start, end)
+    def _indexed(self, chain: str, table: str) -> bool:
+        return chain in self.indexes and self.indexes[chain].table(table) is not None
+
+    def _view(self, view: str, chain: str, table: str, condition: str | None) -> None:
+        """Define a view over what a condition leaves; None for the plan alone."""
+        filters = [condition] if condition else []
+        if not self._indexed(chain, table):
+            entity, b = self.chains[chain].entities[table], self.bounds
+            if condition is None:
+                df = self.spark.read.schema(entity.schema).parquet(self._placeholder(chain, table))
+            else:
+                df = scan_live(self.spark, self.chains[chain], table, None, filters, None, b.start, b.end, b.last_n, blocks_per_batch=self.blocks_per_batch)
         else:
+            index = self.indexes[chain].table(table)
+            start, end = self.bounds.on_index(self.head(chain))
             files = [p.location for p in pruned_partitions(self.spark, index, filters, start, end)]
             df = self.spark.read.schema(index.schema).parquet(*files) if files else self.spark.createDataFrame([], index.schema)
             if start is not None:
@@ -194,17 +229,25 @@ class Engine:
             if end is not None:
                 df = df.filter(f"`{index.block_column}` < {end}")
         df.createOrReplaceTempView(view)
-        if chain == self.default:
-            df.createOrReplaceTempView(table)
 
+    def _placeholder(self, chain: str, table: str) -> str:
+        """An empty parquet folder with the table's schema, for planning."""
+        key = f"{chain}/{table}"
+        if key not in self._empty:
+            self._empty[key] = f"{scratch_path(self.spark, 'plan')}/{key}/0.parquet"
+            self.spark.createDataFrame([], self.chains[chain].entities[table].schema).write.parquet(self._empty[key])
+        return self._empty[key]
 
-def _name(text: str, old: str, new: str) -> str:
-    """Replace a dotted name outside quotes."""
-    import re
 
+def _name(text: str, old: str, new: str, alias: str = "") -> str:
+    """Replace a table name outside quotes; a bare one only after FROM, JOIN or a comma of FROM, where it keeps its name as alias."""
     parts = re.split(r"('(?:[^'\\]|\\.|'')*')", text)
-    pattern = re.compile(rf"(?<![\w.`]){re.escape(old)}(?!\w)", re.I)
-    return "".join(p if i % 2 else pattern.sub(new, p) for i, p in enumerate(parts))
+    if "." in old:
+        pattern = re.compile(rf"(?<![\w.`]){re.escape(old)}(?!\w)", re.I)
+        return "".join(p if i % 2 else pattern.sub(new, p) for i, p in enumerate(parts))
+    # an alias that follows already names it
+    pattern = re.compile(rf"(\b(?:from|join)\s+){re.escape(old)}\b(?!\s*\.)(\s+(?:as\s+)?(?!(?:{_AFTER_TABLE})\b)[a-z_]\w*)?", re.I)
+    return "".join(p if i % 2 else pattern.sub(lambda m: m[1] + new + (m[2] or alias), p) for i, p in enumerate(parts))
 
 
 def _scan_conditions(df: DataFrame) -> dict[str, list[list[str]]]:

@@ -29,7 +29,7 @@ def segment_pairs(rows: DataFrame, max_gap: int = 3, segment: int = 256) -> Data
     """
     if not 0 <= max_gap < segment:
         raise ValueError("max_gap must be below segment")
-    rows = rows.select("key", "pos", "sub", "id", "mark", F.floor(F.col("pos") / segment).cast("bigint").alias("seg")).filter("key is not null and pos is not null and id is not null")
+    rows = rows.select("key", "pos", "sub", "id", "mark", F.expr(f"(pos - pmod(pos, {segment}L)) div {segment}L").alias("seg")).filter("key is not null and pos is not null and id is not null")
     inside = W.partitionBy("key", "seg").orderBy("pos", "sub", "id")
     once = rows.withColumn("_same", F.lag("id").over(inside)).filter("_same is null or _same <> id").drop("_same")
     near = once.select(

@@ -424,6 +424,18 @@ ORACLE = {
     "bounds_start_end": "SELECT range id, range // 2 half FROM range(1000000, least(1000321, (SELECT max(number) + 1 FROM blocks)))",
     "prune_floor": "SELECT number FROM blocks WHERE (number // 500) % 2 = 0",
     "prune_or": "SELECT number FROM blocks WHERE number < 1000500 OR number >= 1002000",
+    "prune_report": _PARTS + """, p AS (SELECT lower_bound b FROM parts WHERE table_name = 'blocks')
+SELECT 'floor(number / 500) % 2 = 0' AS "condition", count(*) n_files FROM p WHERE (b // 500) % 2 = 0
+UNION ALL SELECT 'number < 1000500 OR number >= 1002000', count(*) FROM p WHERE b < 1000500 OR b + 500 > 1002000
+UNION ALL SELECT 'hash IS NOT NULL', count(*) FROM p UNION ALL SELECT 'number BETWEEN 1000600 AND 1000700', count(*) FROM p WHERE b = 1000500 UNION ALL SELECT 'false', 0""",
+    "prune_conjuncts": """SELECT * FROM (VALUES ('51 >= 50', 1, 0), ('number >= 51 AND number <= 600', 2, 0), ('number >= 51 AND gas_limit <= 600', 1, 1), ('floor(number / 100) > 0', 1, 0),
+('number IN (SELECT 1)', 0, 1), ('rand() > 0.5', 0, 1), ('sum(number) > 1', 0, 1), ('CASE WHEN number > 5 THEN true END', 1, 0)) t("condition", n_pruners, n_residual)""",
+    "chunked_range": "WITH t AS (SELECT (SELECT max(number) % 10000 FROM blocks) n), c AS (SELECT range::INT chunk, n // 7 + CASE WHEN range < n % 7 THEN 1 ELSE 0 END n FROM range(7), t), s AS (SELECT *, sum(n) OVER (ORDER BY chunk) stop FROM c) SELECT chunk, n, (stop - n)::BIGINT AS first, (stop - 1)::BIGINT AS last FROM s WHERE n > 0",
+    "show_tables": "SELECT 'eth' AS chain, unnest(['blocks', 'logs']) table_name",
+    "to_json_rows": "SELECT to_json(nation)::VARCHAR AS value FROM nation",
+    "sql_files": _PARTS + """ SELECT 'SELECT * FROM eth.blocks b WHERE floor(b.number / 500) % 2 = 0' AS query, count(*) n_files FROM parts WHERE table_name = 'blocks' AND (lower_bound // 500) % 2 = 0
+UNION ALL SELECT 'SELECT l.log_id FROM eth.logs l JOIN eth.blocks b ON l.block_number = b.number WHERE b.number % 1000 < 10 AND b.number < 1000500', count(*) FROM parts WHERE lower_bound = 1000000
+UNION ALL SELECT 'SELECT * FROM blocks WHERE hash IS NOT NULL', count(*) FROM parts WHERE table_name = 'blocks'""",
     "prune_multi": "SELECT number FROM blocks WHERE number >= 1000400 AND gas_limit > 0",
     "filter_and_fold": "SELECT number, size::BIGINT size FROM blocks WHERE number >= 1000400 AND size IS NOT NULL",
     "filter_sequence": "SELECT number, size::BIGINT size FROM blocks WHERE number >= 1000400 AND size IS NOT NULL",

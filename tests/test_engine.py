@@ -170,6 +170,13 @@ def test_engine(spark, tmp_path):
     both = e.sql("SELECT a.id FROM t a JOIN t b ON a.id = b.id + 500 WHERE a.id < 600 AND b.id % 100 = 1")
     assert [r.id for r in both.collect()] == [501]
     assert e.sql("SELECT count(*) AS n FROM t").first().n == 1000
+    live = e.sql("SELECT x.id, t.text FROM testy.t x JOIN t ON t.id = x.id WHERE x.id % 100 = 7 AND x.hash IS NOT NULL")
+    assert sorted(r.id for r in live.collect()) == list(range(7, 1000, 100))
+    with pytest.raises(ValueError):
+        e.sql("SELECT * FROM testy.t")
+    assert {tuple(r) for r in e.sql("SHOW TABLES").collect()} == {("eth", "t"), ("testy", "t")} == {tuple(r) for r in e.sql("SELECT * FROM information_schema.tables").collect()}
+    assert e.sql("describe testy.t").count() == 2 and e.sql("SELECT column_name FROM information_schema.columns WHERE table_schema = 'eth'").count() == 2
+    assert e.sql("SELECT t.id FROM t WHERE t.id = 5 UNION ALL SELECT id FROM t LIMIT 3").count() == 3
     e.set_window(last_n=30)
     assert e.table("t").count() == 30 and e.sql("SELECT count(*) AS n FROM t").first().n == 30 and e.table("testy.t").count() == 30
     with pytest.raises(LookupError):
