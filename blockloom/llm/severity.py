@@ -160,54 +160,54 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -30, 30)))).sum(axis=1)
 
 
-def fit(docs: Sequence[tuple[list[np.ndarray], int]], grades: int = 3, rounds: int = 6, steps: int = 30, rate: float = 0.15, l2: float = 0.01, size: int = FEATURES) -> Model:
-    """Fit on (sentence features of a document, its grade) pairs.
+def fit(docs: Sequence[tuple[list[np.ndarray], int]], **options) -> Model:
+    """`fit_flat` on (features of each sentence, grade) of each document."""
+    rows = [r for d, _ in docs for r in d]
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d, _ in docs])
+    index = np.concatenate([np.zeros(0, np.int32), *rows])
+    where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return fit_flat(index, where, owner, np.array([g for _, g in docs], np.int64), **options)
+
+
+def fit_flat(index: np.ndarray, where: np.ndarray, owner: np.ndarray, grade: np.ndarray, grades: int = 3, rounds: int = 6, steps: int = 30, rate: float = 0.15, l2: float = 0.01, size: int = FEATURES) -> Model:
+    """Fit on documents' sentences: feature `index[k]` is in sentence `where[k]`, which is in document `owner[where[k]]`.
 
     Every sentence of a document of grade 0 has grade 0; of another document only
     the sentence with the highest score has its grade, and the choice is made anew
     in each round (first by how much more often its features occur in documents of
-    higher grades). Without a document above grade 0, or without one of it, the
-    model scores every sentence alike.
+    higher grades). Without a document above grade 0, or without one of it, the model
+    scores every sentence alike.
     """
-    rows = [r for d, _ in docs for r in d]
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d, _ in docs])
-    grade = np.array([g for _, g in docs], np.int64)
-    lengths = np.array([len(r) for r in rows], np.int64)
-    keep = lengths > 0
-    rows, owner, lengths = [r for r, k in zip(rows, keep, strict=True) if k], owner[keep], lengths[keep]
     thresholds = np.arange(1.0, grades) - 0.5
     weights = np.zeros(size)
-    if not len(rows) or not (grade > 0).any() or not (grade == 0).any():
+    count, n_docs = len(owner), len(grade)
+    if not len(index) or not (grade > 0).any() or not (grade == 0).any():
         return Model(weights.astype(np.float32), thresholds + 3)
-    index = np.concatenate(rows)
-    where = np.repeat(np.arange(len(rows)), lengths)
-    scale = 1 / np.sqrt(lengths)
-    starts = np.cumsum(lengths) - lengths
-
-    # start: log odds of a feature by the documents that hold it
+    lengths = np.bincount(where, minlength=count)
+    scale = 1 / np.sqrt(np.maximum(lengths, 1))
     seen = np.unique(owner[where].astype(np.int64) * size + index)
     hold, up = np.bincount(seen % size, minlength=size), np.bincount(seen[grade[seen // size] > 0] % size, minlength=size)
+    del seen
+
+    # start: log odds of a feature by the documents that hold it
     base = (grade > 0).mean()
     odds = np.log((up + base) / (hold - up + 1 - base) * (1 - base) / base) * np.sqrt(up)
-    score = np.add.reduceat(odds[index], starts) * scale
+    score = np.bincount(where, odds[index], minlength=count) * scale
 
-    low = np.flatnonzero(grade[owner] == 0)
+    low = np.flatnonzero((grade[owner] == 0) & (lengths > 0))
     m1, m2, t1, t2, step = np.zeros(size), np.zeros(size), np.zeros(grades - 1), np.zeros(grades - 1), 0
-    per_doc = np.bincount(owner, minlength=len(docs))
+    per_doc = np.bincount(owner, minlength=n_docs)
     for _ in range(rounds):
         order = np.lexsort((score, owner))
-        last = np.append(owner[order][1:] != owner[order][:-1], True)
-        best = order[last]
+        best = order[np.append(owner[order][1:] != owner[order][:-1], True)]
         best = best[grade[owner[best]] > 0]
         used = np.concatenate([low, best])
         target = np.concatenate([np.zeros(len(low), np.int64), grade[owner[best]]])
         weight = np.concatenate([1 / np.sqrt(per_doc[owner[low]]), np.full(len(best), max(1.0, len(low) / max(len(best), 1) / 20))])
         weight /= weight.sum()
-        pick = np.zeros(len(rows), bool)
-        pick[used] = True
-        place = np.full(len(rows), -1)
+        place = np.full(count, -1)
         place[used] = np.arange(len(used))
-        mine = pick[where]
+        mine = place[where] >= 0
         at, to = index[mine], place[where[mine]]
         for _ in range(steps):
             step += 1
@@ -229,7 +229,7 @@ def fit(docs: Sequence[tuple[list[np.ndarray], int]], grades: int = 3, rounds: i
             fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
             weights -= rate * (m1 / fix1) / (np.sqrt(m2 / fix2) + 1e-6)
             thresholds = np.maximum.accumulate(thresholds - rate * (t1 / fix1) / (np.sqrt(t2 / fix2) + 1e-6))
-        score = np.add.reduceat(weights[index], starts) * scale
+        score = np.bincount(where, weights[index], minlength=count) * scale
     return Model(weights.astype(np.float32), thresholds)
 
 
@@ -243,19 +243,43 @@ def grade_labels(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
-    """Fit on at most `limit` labelled documents, chosen by hash of doc_id."""
+    """Fit on at most `limit` labelled documents, chosen by hash of doc_id.
+
+    One task fits; only the weights come to the driver. Of repeated documents each
+    row counts.
+    """
     graded = grade_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder()
         for batch in batches:
-            lists = [[r.tolist() for r in coder.rows(units(t))] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "grade", "rows"])
-
-    picked = docs.select("doc_id", "text").join(graded, "doc_id").select("doc_id", "grade", F.col("text").cast("string"))
-    found = picked.mapInArrow(split, "doc_id bigint, grade int, rows array<array<int>>").toArrow().sort_by("doc_id")
-    lists = found["rows"].combine_chunks()
-    return fit([([np.array(x, np.int32) for x in rows.as_py()], g) for rows, g in zip(lists, found["grade"].to_pylist(), strict=True)])
+            sizes, indices, wheres = [], [], []
+            for text in batch.column(2).to_pylist():
+                found = units(text)
+                index, where = coder.encode(coder.words(found))
+                sizes.append(len(found))
+                indices.append(index)
+                wheres.append(where.astype(np.int32))
+            cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(indices, pa.list_(pa.int32())), pa.array(wheres, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "grade", "n", "index", "at"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("n", "ascending")])
+            n = t["n"].to_numpy()
+            index, at = (t[c].combine_chunks().flatten().to_numpy() for c in ("index", "at"))
+            each = np.diff(t["index"].combine_chunks().offsets.to_numpy())
+            model = fit_flat(index, at + np.repeat(np.cumsum(n) - n, each), np.repeat(np.arange(len(n)), n), t["grade"].to_numpy().astype(np.int64))
+        else:
+            model = fit([])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
+
+    # the sample is bounded by `limit`, so it is sent to the documents instead of shuffling their texts
+    picked = docs.select("doc_id", "text").join(F.broadcast(graded), "doc_id").select("doc_id", "grade", F.col("text").cast("string"))
+    coded = picked.mapInArrow(split, "doc_id bigint, grade int, n int, index array<int>, at array<int>")
+    got = coded.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").collect()
+    return Model(np.frombuffer(bytes(got[0].weights), np.float32), np.array(got[0].thresholds)) if got else fit([])
 
 
 def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
