@@ -76,7 +76,9 @@ def build_runs(df: DataFrame, groups: Sequence[str], ids: dict[str, Column], bit
     """Coded runs per group, side and bucket: `groups..., side string, bucket int, n bigint, run binary`.
 
     groups: string columns; null is a group of its own. ids: what is counted, by the
-    name of its side; nulls count for nothing. hashed: ids are 64-bit hashes already. Each task codes what it reads, so only
+    name of its side; nulls count for nothing. hashed: ids are 64-bit hashes already.
+    An empty text is an identifier like any other, repeated rows count once, and
+    other columns are not read. Each task codes what it reads, so only
     runs leave it; one group and bucket may still have several runs that overlap
     (see `merge_runs`). An empty table has no runs.
     """

@@ -79,7 +79,9 @@ def candidates(values: DataFrame, capacity: int = 1000, width_bits: int = 16, de
     further row with a null value has all occurrences of the side as lower and upper.
     Memory of a task: the sketches and heaps of each side, whatever the input. A
     value holding a third of all rows is combined in the reading tasks first, so it
-    reaches its partition as one row per task. Empty input gives no rows.
+    reaches its partition as one row per task. Every row counts, repeated ones too; an
+    empty text is a value. Of values with equal estimates at the end of a full heap
+    the greater text stays. Empty input gives no rows; other columns are not read.
     """
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,9 @@ MAX_LEAVES = 100_000
 
 
 def with_tokens(docs: DataFrame, columns: Sequence[str], vocabulary: str = VOCABULARY, piece: int = 1 << 20) -> DataFrame:
-    """`columns` and n_tokens of each document's whole text; a null text has 0.
+    """`columns` and n_tokens of each document's whole text; a null or empty text has 0.
+
+    Repeated rows are counted each; other columns are not read.
 
     vocabulary: a file of byte-level ranks that every executor can read. Texts of
     more than `piece` characters are counted piece by piece, cut at blanks where

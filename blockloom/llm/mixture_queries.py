@@ -61,4 +61,9 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
-ORACLE: dict[str, str] = {}
+# any tokenizer gives the same sources, so SQL counts runs of letters, digits and signs
+ORACLE = {
+    "p9_found": r"""
+WITH n AS (SELECT source, sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]+'))) t FROM documents GROUP BY 1)
+SELECT m.source FROM mix_targets m LEFT JOIN n USING (source) WHERE m.max_repeats * coalesce(t, 0) < m.target_share * (SELECT sum(t) FROM n)""",
+}
