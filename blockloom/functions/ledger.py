@@ -71,8 +71,9 @@ def topic(topics: Column, index: int) -> Column:
 
 
 def epoch_to_ts(seconds: Column) -> Column:
-    """Unix seconds as a timestamp without zone."""
-    return F.timestamp_seconds(seconds.cast("bigint")).cast("timestamp_ntz")
+    """Unix seconds as a timestamp without zone, whatever the session's zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
 def bytes_to_h(n: Column) -> Column:

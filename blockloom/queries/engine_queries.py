@@ -396,7 +396,7 @@ QUERIES = {
     "hex_to_u256_wide": _txns(lambda: [L.hex_to_u256(F.col("hash")).alias("hash"), L.hex_to_u256(F.col("r")).alias("r")]),
     "hex_to_double": _txns(lambda: [L.hex_to_double(F.col("gas_price")).alias("gas_price")]),
     "array_get": topics,
-    "epoch_to_ts": lambda spark, base: table(spark, base, "blocks").select("number", L.epoch_to_ts(F.unix_seconds(F.col("block_timestamp").cast("timestamp"))).alias("at")),
+    "epoch_to_ts": lambda spark, base: table(spark, base, "blocks").select("number", L.epoch_to_ts(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', block_timestamp)")).alias("at")),
     "bytes_to_h": lambda spark, base: table(spark, base, "block_partitions").select("entry_id", L.bytes_to_h(F.col("byte_count")).alias("human")),
     "json_add_key": lambda spark, base: table(spark, base, "events").select("event_id", F.get_json_object(L.json_add_key(F.col("props"), "kind", F.col("event_type")), "$.kind").alias("kind"), F.get_json_object(L.json_add_key(F.col("props"), "kind", F.col("event_type")), "$.k").cast("bigint").alias("k")),
     "explode_nested": explode_nested,

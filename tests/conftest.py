@@ -2,6 +2,10 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("here", deadline=None, max_examples=50)
+settings.load_profile("here")
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
