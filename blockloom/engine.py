@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.functions.dialect import register_dialect, translate
 from blockloom.functions.ledger import register_current_block
 from blockloom.plans.pruning import is_pruner
 from blockloom.session import scratch_path
@@ -92,6 +93,7 @@ class Engine:
         self._stores: dict[StorageConf, Store] = {}
         self._heads: dict[str, int] = {}
         self._empty: dict[str, str] = {}
+        register_dialect(spark)
 
     def add_chain(self, chain: ChainSpec, index: Manifest | None = None) -> None:
         """Register a chain, perhaps with an index; its head is frozen for current_block until `refresh`."""
@@ -168,7 +170,8 @@ class Engine:
 
     def sql(self, text: str) -> DataFrame:
         """A query over `chain.table` names, or bare names of the default chain; also
-        `information_schema.tables` and `.columns`, SHOW TABLES and DESCRIBE.
+        `information_schema.tables` and `.columns`, SHOW TABLES and DESCRIBE, and the
+        spellings of `functions.dialect`.
 
         The query is planned once over all files. Conditions on the block column that
         the optimizer has put on a table's scan then choose its files, whatever their
@@ -179,7 +182,7 @@ class Engine:
         asked = re.fullmatch(r"\s*(?:show\s+tables|(?:describe|desc)\s+(?:table\s+)?([\w.`]+))\s*;?\s*", text, re.I)
         if asked:
             return self.describe(asked[1].replace("`", "")) if asked[1] else self.information_schema()["tables"]
-        plain = text
+        plain = translate(text)
         for name in ("tables", "columns"):
             changed = _name(plain, f"information_schema.{name}", f"information_schema__{name}")
             if changed != plain:

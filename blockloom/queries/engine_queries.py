@@ -109,6 +109,14 @@ def scan_sql(spark: SparkSession, base: str) -> DataFrame:
     return engine(spark, base).sql("SELECT number, miner IS NULL AS no_miner, gas_limit FROM eth.blocks WHERE number % 7 = 3 OR floor(number / 500) = 2001")
 
 
+def sql_dialect(spark: SparkSession, base: str) -> DataFrame:
+    """Spellings of other engines over an indexed table."""
+    return engine(spark, base).sql(
+        """SELECT number, to_hex(number) AS hexed, strpos(to_hex(number), 'f4') AS place, starts_with(to_hex(number), 'f') AS f, lower(hex(sha256(to_hex(number)))) AS digest,
+        to_hex(number) SIMILAR TO 'f(4|5)%' AS alike, date_bin(INTERVAL '15' MINUTE, block_timestamp, TIMESTAMP_NTZ'2001-01-01 00:00:00') AS bin FROM eth.blocks WHERE block_timestamp IS NOT NULL"""
+    )
+
+
 def bounds_last_n(spark: SparkSession, base: str) -> DataFrame:
     """The window applies to an indexed scan too."""
     known = engine(spark, base)
@@ -354,6 +362,7 @@ QUERIES = {
     "scan_empty": _indexed("blocks", ["number < 0"], ["number"]),
     "scan_sql": scan_sql,
     "sql_files": sql_files,
+    "sql_dialect": sql_dialect,
     "scan_selective": _live(["id % 1000 = 7 OR id < 20"]),
     "bounds_filter": _live(["id >= 999990", "half % 2 = 0"]),
     "bounds_last_n": bounds_last_n,
@@ -417,6 +426,7 @@ ORACLE = {
     "scan_index": "SELECT log_id, block_number FROM logs WHERE block_number >= 1000200 AND topic1 IS NOT NULL AND block_number <= (SELECT max(number) FROM blocks)",
     "scan_empty": "SELECT number FROM blocks WHERE number < 0",
     "scan_sql": "SELECT number, miner IS NULL no_miner, gas_limit FROM blocks WHERE number % 7 = 3 OR number // 500 = 2001",
+    "sql_dialect": "SELECT number, lower(to_hex(number)) hexed, strpos(lower(to_hex(number)), 'f4')::INT place, starts_with(lower(to_hex(number)), 'f') f, sha256(lower(to_hex(number))) digest, regexp_full_match(lower(to_hex(number)), 'f(4|5).*') alike, time_bucket(INTERVAL '15 minutes', block_timestamp, TIMESTAMP '2001-01-01 00:00:00') bin FROM blocks WHERE block_timestamp IS NOT NULL",
     "scan_selective": _LIVE + " SELECT id, half FROM t WHERE id % 1000 = 7 OR id < 20",
     "bounds_filter": _LIVE + " SELECT id, half FROM t WHERE id >= 999990 AND half % 2 = 0",
     "bounds_last_n": "SELECT log_id, block_number FROM logs WHERE block_number > (SELECT max(number) FROM blocks) - 250 AND block_number <= (SELECT max(number) FROM blocks)",

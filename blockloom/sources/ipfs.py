@@ -51,6 +51,17 @@ class IpfsStore:
         with self._ask(path, "HEAD") as answer:
             return int(answer.headers.get("content-length") or 0)
 
+    def resolve(self, name: str) -> str | None:
+        """The content address behind a published name, as the gateway tells it."""
+        request = urllib.request.Request(f"{self.gateway.rstrip('/')}/ipns/{urllib.parse.quote(name)}", method="HEAD")
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310
+                roots = answer.headers.get("x-ipfs-roots")
+                return roots.split(",")[-1].strip() if roots else None
+        except urllib.error.HTTPError as e:
+            e.close()
+            return None
+
     def _call(self, name: str, body: bytes = b"", headers: dict | None = None, **args: str) -> list[dict]:
         if not self.rpc:
             raise ValueError(f"{name} needs an RPC URL")

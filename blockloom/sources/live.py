@@ -27,6 +27,10 @@ from blockloom.spec import ChainSpec, EntitySpec
 MAX_RANGES = 1_000_000
 
 
+#: Asset descriptions, and the text of those that cannot be read.
+ASSET = "name string, type string, symbol string, decimals int, description string, website string, explorer string, status string, links array<struct<name:string,url:string>>, _bad string"
+
+
 @dataclass
 class Blocks(InputPartition):
     ranges: tuple[tuple[int, int], ...]
@@ -203,11 +207,27 @@ def _post(url: str, body: bytes, timeout: float) -> bytes:
 
 def read_assets(spark: SparkSession, pattern: str) -> DataFrame:
     """Asset files (`.../<address>/info.json`) with their folder's name as address; unreadable ones are left out."""
-    schema = "name string, type string, symbol string, decimals int, description string, website string, explorer string, status string, links array<struct<name:string,url:string>>, _bad string"
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(pattern)
+    rows = spark.read.schema(ASSET).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(pattern)
     return cut(rows.withColumn("address", F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1))).filter("_bad is null").drop("_bad")
 
 
+def load_chain(spark: SparkSession, base: str, name: str) -> tuple[dict, DataFrame]:
+    """A chain's own description and its assets, from `base/name/info.json` and `base/name/assets/<address>/info.json`.
+
+    A chain without a readable description is an error; unreadable assets are left out.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/info.json")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise FileNotFoundError(str(path))
+    info = json.loads("".join(r.value for r in spark.read.text(str(path), wholetext=True).collect()))
+    assets = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/assets")
+    pattern = f"{base}/{name}/assets/*/info.json"
+    if fs.exists(assets) and fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)):
+        return info, read_assets(spark, pattern)
+    return info, spark.createDataFrame([], ASSET.removesuffix(", _bad string") + ", address string")
+
+
 def batch_rows(rows: Iterable[tuple], limit: int | None) -> Iterator[tuple]:
     """Rows of a stream up to a limit; a limit of 0 gives none."""
     for i, row in enumerate(rows):

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -10,9 +11,10 @@ from pyspark.sql import types as T
 from blockloom import cli
 from blockloom.engine import Config, Engine
 from blockloom.functions import ledger as L
+from blockloom.functions.dialect import translate
 from blockloom.operators.builder import build_index, build_partition, build_range, load_or_create
 from blockloom.sources.index_scan import scan_index
-from blockloom.sources.live import RpcClient, RpcConfig, batch_rows, read_assets, scan_live
+from blockloom.sources.live import RpcClient, RpcConfig, batch_rows, load_chain, read_assets, scan_live
 from blockloom.sources.manifest import BlockPartition, Manifest
 from blockloom.sources.storage import Location, StorageConf, Store, store_for
 from blockloom.spec import BLOCK_NUMBER, U256, VARCHAR, ChainSpec, ColumnSpec, EntitySpec, eth_blocks, eth_logs, fixed_bytes
@@ -187,6 +189,17 @@ def test_engine(spark, tmp_path):
     assert "down" in e.refresh() and e.head("eth") == 999
 
 
+def test_dialect(spark):
+    assert translate("a SIMILAR TO 'x%' AND approx_distinct(b) > 'approx_distinct('") == "a RLIKE '^(?s:x.*)$' AND approx_count_distinct(b) > 'approx_distinct('"
+    e = Engine(spark)
+    got = e.sql("""SELECT strpos('abc', 'c') AS a, to_hex(255) AS b, lower(hex(sha256('x'))) AS c, hex(digest('x', 'md5')) = upper(md5('x')) AS d, starts_with('ab', 'a') AS e,
+        to_timestamp_seconds(5) AS f, to_timestamp_millis(1500) AS g, date_bin(INTERVAL '15' MINUTE, TIMESTAMP_NTZ'2024-01-01 10:44:59', TIMESTAMP_NTZ'2024-01-01 00:00:00') AS h,
+        'a.c' SIMILAR TO 'a.(b|c)' AS i, 'abc' NOT SIMILAR TO 'a.(b|c)' AS j, 'xyz' SIMILAR TO '_y[a-z]' AS k, arrow_typeof(1) AS l""").first()
+    assert tuple(got)[:2] == (3, "ff") and got.c == hashlib.sha256(b"x").hexdigest() and got.d and got.e and got.i and got.j and got.k and got.l == "int"
+    assert (got.f, got.g, got.h) == (datetime.datetime(1970, 1, 1, 0, 0, 5), datetime.datetime(1970, 1, 1, 0, 0, 1, 500000), datetime.datetime(2024, 1, 1, 10, 30))
+    assert e.sql("SELECT approx_distinct(id) AS n FROM range(10)").first().n == 10
+
+
 def test_storage(spark, tmp_path):
     f = StorageConf.parse({"type": "file", "dirpath": str(tmp_path)})
     s3 = StorageConf.parse({"type": "s3", "bucket": "b", "prefix": "p/"})
@@ -297,6 +310,18 @@ def test_assets(spark, tmp_path):
     assert [(r.address, r.name) for r in read_assets(spark, f"{tmp_path}/*/info.json").collect()] == [("0xa", "A")]
 
 
+def test_load_chain(spark, tmp_path):
+    for name, text in (("c", '{"name": "C"}'), ("c/assets/0xa", '{"name": "A"}'), ("d", '{"name": "D"}')):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "info.json").write_text(text)
+    info, assets = load_chain(spark, str(tmp_path), "c")
+    assert info == {"name": "C"} and [r.address for r in assets.collect()] == ["0xa"]
+    info, none = load_chain(spark, str(tmp_path), "d")
+    assert none.count() == 0 and set(none.columns) == set(assets.columns)
+    with pytest.raises(FileNotFoundError):
+        load_chain(spark, str(tmp_path), "missing")
+
+
 def test_batch_rows():
     assert len(list(batch_rows([(1,)] * 50, 10))) == 10 and list(batch_rows([(1,)], 0)) == [] and len(list(batch_rows([(1,)] * 3, None))) == 3
 

@@ -26,7 +26,7 @@ class Node(BaseHTTPRequestHandler):
         if self.headers.get("range"):
             a, b = self.headers["range"].removeprefix("bytes=").split("-")
             return self.answer(206, body[int(a) : int(b) + 1])
-        return self.answer(200, body)
+        return self.answer(200, body, x_ipfs_roots="root,leaf")
 
     do_HEAD = do_GET
 
@@ -52,6 +52,7 @@ def test_ipfs():
     with pytest.raises(FileNotFoundError):
         store.get("none")
     assert store.get(store.add("a/b", b"content")) == b"content"
+    assert store.resolve("named") == "leaf" and store.resolve("none") is None
     assert store.keys() == {"k": "id1"} and store.create_key("x") == "id2" and store.publish("new") == "id1"
     assert [IpfsStore(url).mode, IpfsStore(url, url).mode, store.mode] == ["read", "add", "publish"]
     for bad in (lambda: IpfsStore(url).add("a", b""), lambda: IpfsStore(url, url, "other").publish("new")):
