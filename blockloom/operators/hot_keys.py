@@ -1,7 +1,7 @@
 """A few keys holding most records: per-key results without long tasks.
 
 `segment_pairs` needs each key's rows in order; it cuts a key's rows into segments of
-the order's range and combines the compact states of neighbouring segments.
+the order's range and lends the rows at a border to the next segment.
 `eager_join` is an aggregate over a join; it aggregates both inputs by the join key
 before they meet.
 """
@@ -23,42 +23,20 @@ def segment_pairs(rows: DataFrame, max_gap: int = 3, segment: int = 256) -> Data
 
     Each key is cut into segments of `segment` positions, whose rows are sorted
     within one task: a key holding a third of all rows is spread over all segments.
-    A pair across a border can only join the last row of a segment with the first
-    row of the next, and only within `max_gap` of the border, so each segment hands
-    over at most those two rows as its state, and the states meet by (key, border).
+    A predecessor across a border lies within `max_gap` of it, so the rows there are
+    also lent to the next segment, where they are only looked back at. One shuffle
+    and one sort do it; `max_gap / segment` of the rows travel twice.
     """
     if not 0 <= max_gap < segment:
         raise ValueError("max_gap must be below segment")
-    rows = rows.select("key", "pos", "sub", "id", "mark", F.expr(f"(pos - pmod(pos, {segment}L)) div {segment}L").alias("seg")).filter("key is not null and pos is not null and id is not null")
+    seg = F.expr(f"(pos - pmod(pos, {segment}L)) div {segment}L")
+    lent = F.expr(f"pmod(pos, {segment}L)") >= segment - max_gap
+    places = F.array(F.struct(seg.alias("seg"), F.lit(False).alias("lent")), F.when(lent, F.struct((seg + 1).alias("seg"), F.lit(True).alias("lent"))))
+    rows = rows.select("key", "pos", "sub", "id", "mark").filter("key is not null and pos is not null and id is not null").select("*", F.inline(F.array_compact(places)))
     inside = W.partitionBy("key", "seg").orderBy("pos", "sub", "id")
-    once = rows.withColumn("_same", F.lag("id").over(inside)).filter("_same is null or _same <> id").drop("_same")
-    near = once.select(
-        "*", F.lag("pos").over(inside).alias("_pos"), F.lag("mark").over(inside).alias("_mark"), F.lead("id").over(inside).isNull().alias("_last"), F.row_number().over(inside).alias("_n")
-    )
-    found = (F.col("_mark") == F.col("mark")) & (F.col("pos") - F.col("_pos") <= max_gap)
-    head = (F.col("_n") == 1) & (F.col("pos") - F.col("seg") * segment < max_gap)
-    tail = F.col("_last") & ((F.col("seg") + 1) * segment - F.col("pos") <= max_gap)
-
-    def state(when: Column, role: int, key: Column, border: Column) -> Column:
-        return F.when(when, F.struct(key.alias("k"), border.alias("b"), F.lit(role).alias("role"), F.col("id"), F.col("pos"), F.col("mark")))
-
-    # found rows need no partner; they travel under their own id
-    states = near.select(
-        F.inline(
-            F.filter(
-                F.array(
-                    state(found, 2, F.col("id"), F.lit(None).cast("bigint")),
-                    state(head, 0, F.col("key"), F.col("seg")),
-                    state(tail, 1, F.col("key"), F.col("seg") + 1),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        )
-    )
-    inner = states.filter("role = 2").select("id")
-    borders = states.filter("role < 2").groupBy("k", "b").agg(F.max(F.when(F.col("role") == 0, F.struct("id", "pos", "mark"))).alias("h"), F.max(F.when(F.col("role") == 1, F.struct("pos", "mark"))).alias("t"))
-    across = borders.filter((F.col("h.mark") == F.col("t.mark")) & (F.col("h.pos") - F.col("t.pos") <= max_gap)).select("h.id")
-    return inner.unionByName(across)
+    once = rows.withColumn("_same", F.lag("id").over(inside)).filter("_same is null or _same <> id")
+    near = once.select("id", "pos", "mark", "lent", F.lag("pos").over(inside).alias("_pos"), F.lag("mark").over(inside).alias("_mark"))
+    return near.filter(~F.col("lent") & (F.col("_mark") == F.col("mark")) & (F.col("pos") - F.col("_pos") <= max_gap)).select("id")
 
 
 def eager_join(left: DataFrame, right: DataFrame, key: str, left_sums: dict[str, Column], right_sums: dict[str, Column]) -> DataFrame:
