@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -106,7 +107,7 @@ def wanted_blocks(spark: SparkSession, entity: EntitySpec, filters: Sequence[str
     c = entity.block_column
     numbers = kept(blocks_frame(spark, BlockSet.span(low, high), c), pruners)
     # islands of survivors; only their ranges come to the driver
-    spans = numbers.withColumn("_p", F.spark_partition_id()).withColumn("_g", F.col(c) - F.row_number().over(_within(c))).groupBy("_p", "_g").agg(F.min(c).alias("a"), F.max(c).alias("b"))
+    spans = numbers.withColumn("_p", F.spark_partition_id()).withColumn("_g", F.col(c) - F.row_number().over(W.partitionBy("_p").orderBy(c))).groupBy("_p", "_g").agg(F.min(c).alias("a"), F.max(c).alias("b"))
     found = sorted((r.a, r.b + 1) for r in spans.limit(MAX_RANGES + 1).collect())
     if len(found) > MAX_RANGES:
         raise ValueError("the filter leaves too many separate block ranges")
@@ -119,12 +120,6 @@ def wanted_blocks(spark: SparkSession, entity: EntitySpec, filters: Sequence[str
     return BlockSet(tuple((a, b) for a, b in out))
 
 
-def _within(column: str):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("_p").orderBy(column)
-
-
 def scan_live(spark: SparkSession, chain: ChainSpec, table: str, columns: Sequence[str] | None = None, filters: Sequence[str] = (), limit: int | None = None, start: int | None = None, end: int | None = None, last_n: int | None = None, tasks: int = 8, blocks_per_batch: int = 100) -> DataFrame:
     """A table without an index, sorted by block number.
 
