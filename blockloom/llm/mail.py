@@ -28,9 +28,19 @@ _QP = re.compile(rb"=([0-9A-Fa-f]{2})|=[ \t]*\n")
 _UU = re.compile(r"^begin [0-7]{3,4} (\S.*)\n((?:.*\n)*?)end[ \t]*$", re.M)
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 _BASE64_BODY = re.compile(r"\s*(?:[A-Za-z0-9+/]{60,78}\n)+[A-Za-z0-9+/]*={0,2}\s*\Z")
+#: Runs of the characters that UTF-8 bytes turn into when they are read as Windows-1252.
+_MISREAD = re.compile("[\u0080-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2,}")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _reread(run: re.Match) -> str:
+    """The run as it was before a wrong charset, if it is such a run."""
+    try:
+        return b"".join(c.encode("latin-1") if ord(c) < 256 else c.encode("cp1252") for c in run[0]).decode("utf-8")
+    except UnicodeError:
+        return run[0]
+
+
 def _as_text(raw: bytes, head: str) -> str:
     """UTF-8 if it is, else the declared charset, else Latin-1: declared charsets are often wrong."""
     try:
@@ -120,7 +130,8 @@ def view(text: str | None) -> list[str]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     head, _, body = text.partition("\n\n")
     parts = _parts(head, body, 0)
-    return [subject(head), *[_QUOTE.sub("", p) if ">" in p or "|" in p else p for p in parts]]
+    parts = [p if p.isascii() else _MISREAD.sub(_reread, p) for p in (subject(head), *parts)]
+    return [parts[0], *[_QUOTE.sub("", p) if ">" in p or "|" in p else p for p in parts[1:]]]
 
 
 def words(text: str) -> list[str]:

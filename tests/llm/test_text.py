@@ -35,6 +35,8 @@ def test_view():
     latin = base64.encodebytes(body.encode("latin-1")).decode()
     assert joined(mail(latin, "Content-Type: text/plain;\n charset=iso-8859-1", "Content-Transfer-Encoding: base64")) == want
     assert joined(mail(b64, "Content-Type: text/plain; charset=iso-8859-1", "Content-Transfer-Encoding: base64")) == want  # wrong charset
+    assert joined(mail(body.encode().decode("cp1252"))) == joined(mail("Der KÃ¤fer sagt: grÃ¼Ã\x9fe")) == want  # read with a wrong charset
+    assert joined(mail("Å l’été – où")) == "hi there å l été où"
     assert joined(mail("> one\n> > two\n| three\nAB> four\n>> five")) == "hi there one two three four five"
     html = "<html><head><title>x</title></head><body><p>one <b>tw</b>o&amp;three</p><script>no</script><br>four</body></html>"
     assert joined(mail(html, "Content-Type: text/html")) == "hi there one two three four"
