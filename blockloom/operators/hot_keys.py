@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 
 def segment_pairs(rows: DataFrame, max_gap: int = 3, segment: int = 256) -> DataFrame:
-    """Row ids whose direct predecessor of the same key has the same mark and a position at most `max_gap` lower.
+    """Row ids whose direct predecessor of the same key has the same mark and a position at most `max_gap` lower; see `marked_pairs`."""
+    return marked_pairs(rows, max_gap, segment).filter("found").select("id")
+
+
+def marked_pairs(rows: DataFrame, max_gap: int = 3, segment: int = 256) -> DataFrame:
+    """key, id, found of every row: whether its direct predecessor of the same key has the same mark and a position at most `max_gap` lower.
 
     rows: `key, pos bigint, sub bigint, id string, mark string`; further columns are
     not read. Rows of one key are ordered by pos, sub and id; repeated rows (same id)
@@ -35,8 +40,9 @@ def segment_pairs(rows: DataFrame, max_gap: int = 3, segment: int = 256) -> Data
     rows = rows.select("key", "pos", "sub", "id", "mark").filter("key is not null and pos is not null and id is not null").select("*", F.inline(F.array_compact(places)))
     inside = W.partitionBy("key", "seg").orderBy("pos", "sub", "id")
     once = rows.withColumn("_same", F.lag("id").over(inside)).filter("_same is null or _same <> id")
-    near = once.select("id", "pos", "mark", "lent", F.lag("pos").over(inside).alias("_pos"), F.lag("mark").over(inside).alias("_mark"))
-    return near.filter(~F.col("lent") & (F.col("_mark") == F.col("mark")) & (F.col("pos") - F.col("_pos") <= max_gap)).select("id")
+    near = once.select("key", "id", "pos", "mark", "lent", F.lag("pos").over(inside).alias("_pos"), F.lag("mark").over(inside).alias("_mark"))
+    found = (F.col("_mark") == F.col("mark")) & (F.col("pos") - F.col("_pos") <= max_gap)
+    return near.filter(~F.col("lent")).select("key", "id", F.coalesce(found, F.lit(False)).alias("found"))
 
 
 def eager_join(left: DataFrame, right: DataFrame, key: str, left_sums: dict[str, Column], right_sums: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import hexes as H
-from blockloom.operators.hot_keys import eager_join, rollup_pairs, segment_pairs
+from blockloom.operators.hot_keys import eager_join, marked_pairs, rollup_pairs, segment_pairs
 from blockloom.session import table
 
 
@@ -32,6 +32,12 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return segment_pairs(_rows(spark, base)).select(F.col("id").alias("tx_hash")).distinct()
 
 
+def p6_recipients(spark: SparkSession, base: str) -> DataFrame:
+    """Per recipient: its transactions and how many of them follow closely on one of the same sender."""
+    marked = marked_pairs(_rows(spark, base))
+    return marked.groupBy(F.col("key").alias("address")).agg(F.count(F.lit(1)).alias("n_txns"), F.count_if("found").alias("n_found"))
+
+
 def p6_rollup(spark: SparkSession, base: str) -> DataFrame:
     """Pairs by the size of the address, rolled up from the joined states."""
     per = _pairs(spark, base)
@@ -48,13 +54,15 @@ o AS (SELECT '0x' || lower(hex(contract_address)) address, count(*) n, sum(octet
 p AS (SELECT address, i.n n_left, coalesce(o.n, 0) n_right, i.n * coalesce(o.n, 0) n_pairs, (i.g * coalesce(o.n, 0))::BIGINT pair_gas, (coalesce(o.b, 0) * i.n)::BIGINT pair_bytes
   FROM i LEFT JOIN o USING (address) WHERE address IS NOT NULL)"""
 
-QUERIES = {"p6_method": p6_method, "p6_found": p6_found, "p6_rollup": p6_rollup}
-ORACLE = {
-    "p6_method": _PAIRS + " SELECT * FROM p",
-    "p6_found": f"""
+_ORDERED = f"""
 WITH t AS (SELECT DISTINCT '0x' || {_D.format('hash')} tx_hash, {_ADDR.format('to_addr')} k, {_ADDR.format('from_addr')} m,
   {_LONG.format('block_number')} b, {_LONG.format('transaction_index')} x FROM txns),
-w AS (SELECT *, lag(m) OVER k pm, lag(b) OVER k pb FROM t WHERE k IS NOT NULL WINDOW k AS (PARTITION BY k ORDER BY b, x, tx_hash))
-SELECT DISTINCT tx_hash FROM w WHERE pm = m AND b - pb <= 3""",
+w AS (SELECT *, lag(m) OVER k pm, lag(b) OVER k pb FROM t WHERE k IS NOT NULL WINDOW k AS (PARTITION BY k ORDER BY b, x, tx_hash))"""
+
+QUERIES = {"p6_method": p6_method, "p6_found": p6_found, "p6_recipients": p6_recipients, "p6_rollup": p6_rollup}
+ORACLE = {
+    "p6_method": _PAIRS + " SELECT * FROM p",
+    "p6_found": _ORDERED + " SELECT DISTINCT tx_hash FROM w WHERE pm = m AND b - pb <= 3",
+    "p6_recipients": _ORDERED + " SELECT k address, count(*) n_txns, count(*) FILTER (pm = m AND b - pb <= 3) n_found FROM w GROUP BY 1",
     "p6_rollup": _PAIRS + " SELECT length((n_left + n_right)::VARCHAR)::INT grp, count(*) n_keys, sum(n_pairs)::BIGINT n_pairs, sum(pair_gas)::BIGINT pair_gas, sum(pair_bytes)::BIGINT pair_bytes FROM p GROUP BY 1",
 }
