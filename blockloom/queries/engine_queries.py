@@ -162,13 +162,14 @@ def filter_sequence(spark: SparkSession, base: str) -> DataFrame:
 
 
 def range_source(spark: SparkSession, base: str) -> DataFrame:
-    return blocks_frame(spark, BlockSet.span(0, _head(spark, base) % 10_000 + 1), "number")
+    """Every number from 0 to the head."""
+    return blocks_frame(spark, BlockSet.span(0, _head(spark, base) + 1), "number")
 
 
 def chunked_range(spark: SparkSession, base: str) -> DataFrame:
-    """A range in lossless chunks: their number and sizes."""
-    total = _head(spark, base) % 10_000
-    rows = [(i, len(c), min(c), max(c)) for i, c in enumerate(BlockSet.span(0, total).chunks(7))]
+    """The numbers from 0 to the head in lossless chunks: their number and sizes."""
+    whole = BlockSet.span(0, _head(spark, base) + 1)
+    rows = [(i, len(c), c.ranges[0][0], c.ranges[-1][1] - 1) for i, c in enumerate(whole.chunks(7))]
     return spark.createDataFrame(rows, "chunk int, n bigint, first bigint, last bigint")
 
 
