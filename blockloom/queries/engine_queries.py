@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,11 +9,13 @@ from pyspark.sql import types as T
 from blockloom.engine import Engine
 from blockloom.functions import ledger as L
 from blockloom.operators.builder import build_index, build_range, load_or_create, next_step
+from blockloom.operators.changes import newest
+from blockloom.operators.compaction import fingerprint
 from blockloom.plans.blocks import BlockSet, blocks_frame, islands
 from blockloom.plans.pruning import classify, kept, merged
 from blockloom.session import scratch_path, table
 from blockloom.sources.live import read_assets, scan_live
-from blockloom.sources.manifest import BlockPartition, Manifest, TableIndex
+from blockloom.sources.manifest import Manifest, TableIndex, load_partitions, save_partitions
 from blockloom.sources.storage import StorageConf, Store
 from blockloom.spec import BLOCK_NUMBER, TIMESTAMP, U64, ChainSpec, ColumnSpec, EntitySpec, fixed_bytes
 
@@ -209,8 +209,6 @@ def _entries(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _newest(spark: SparkSession, base: str) -> DataFrame:
-    from blockloom.operators.changes import newest
-
     return newest(_entries(spark, base), ["table_name", "lower_bound"], ["recorded_at", "entry_id"], ["byte_count", "row_count", "incomplete"])
 
 
@@ -240,15 +238,20 @@ def merge_disjoint(spark: SparkSession, base: str) -> DataFrame:
 
 
 def manifest_round_trip(spark: SparkSession, base: str) -> DataFrame:
-    """The live entries of each table as a manifest, saved, loaded, and listed."""
+    """The live entries of each table as a manifest, saved, loaded, and listed; every field is compared."""
     store = _store(spark, "manifest")
     m = Manifest("eth", 5)
-    for r in _newest(spark, base).limit(1_000_000).collect():
-        index = m.table(r.table_name) or m.new_table(r.table_name, "number", T.StructType([T.StructField("number", T.LongType())]))
-        index.add(BlockPartition(r.table_name, r.lower_bound, "", datetime.datetime(2024, 1, 1), r.byte_count, r.row_count, bool(r.incomplete)))
-    store.save("index.json", m.to_json())
-    back = Manifest.from_json(store.load("index.json"))
-    return back.frame(spark).select(F.col("table").alias("table_name"), "lower_bound", "byte_count", "row_count", "incomplete")
+    live = newest(_entries(spark, base), ["table_name", "lower_bound"], ["recorded_at", "entry_id"], ["location", "created_at", "byte_count", "row_count", "incomplete"])
+    rows = live.select(
+        F.col("table_name").alias("table"), "lower_bound", "location", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "byte_count", "row_count", F.coalesce("incomplete", F.lit(False)).alias("incomplete")
+    )
+    for r in rows.select("table").distinct().collect():  # a row per table, however many entries
+        m.new_table(r.table, "number", T.StructType([T.StructField("number", T.LongType())]))
+    save_partitions(store, "index.json", m, rows)
+    back, loaded = load_partitions(spark, store, "index.json")
+    if back != m or fingerprint(loaded, rows.columns) != fingerprint(rows, rows.columns):
+        raise RuntimeError("the loaded manifest differs from the saved one")
+    return loaded.select(F.col("table").alias("table_name"), "lower_bound", "byte_count", "row_count", "incomplete")
 
 
 def first_last_partition(spark: SparkSession, base: str) -> DataFrame:

@@ -1,20 +1,28 @@
 """The manifest: which partition files make up an indexed table.
 
 A manifest is small (a row per file), kept in memory and saved as one JSON text;
-partition files are always written before the manifest that names them.
+partition files are always written before the manifest that names them. One of too many
+files for that has its partitions as rows, which the executors write and read as JSON
+lines; the text then names their folder.
 """
 
 from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockloom.sources.storage import Store
+
 ROW = "table string, lower_bound bigint, location string, created_at timestamp_ntz, byte_count bigint, row_count bigint, incomplete boolean"
+#: Timestamps of partitions saved as lines, whole to the microsecond.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 @dataclass(frozen=True)
@@ -144,3 +152,24 @@ class Manifest:
             for p in t["partitions"]:
                 index.add(BlockPartition(**{**p, "created_at": datetime.datetime.fromisoformat(p["created_at"])}))
         return out
+
+
+def save_partitions(store: Store, name: str, manifest: Manifest, partitions: DataFrame) -> None:
+    """Save a manifest with partitions that are rows (`ROW`), of any number, one per table and lower bound.
+
+    Nothing is sent to the driver. A lower bound that is null or no multiple of the
+    partition size is an error. The lines are written before the text that names them.
+    """
+    size = manifest.blocks_per_partition
+    message = F.concat(F.coalesce(F.col("lower_bound").cast("string"), F.lit("null")), F.lit(f" is no multiple of {size}"))
+    bound = F.when(F.col("lower_bound") % size == 0, F.col("lower_bound")).otherwise(F.raise_error(message).cast("bigint"))
+    folder = f"{name}.partitions-{uuid.uuid4().hex}"
+    partitions.withColumn("lower_bound", bound).write.option("timestampNTZFormat", STAMP).json(store.url(folder))
+    manifest.metadata["partitions"] = folder
+    store.save(name, manifest.to_json())
+
+
+def load_partitions(spark: SparkSession, store: Store, name: str) -> tuple[Manifest, DataFrame]:
+    """A manifest saved by `save_partitions`, and its partitions as rows."""
+    manifest = Manifest.from_json(store.load(name))
+    return manifest, spark.read.schema(ROW).options(mode="FAILFAST", timestampNTZFormat=STAMP).json(store.url(manifest.metadata["partitions"]))
