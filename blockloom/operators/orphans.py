@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +97,7 @@ def direct_orphans(records: Sequence[Records], targets: Sequence[Target]) -> Dat
     )
 
 
-def find_orphans(spark: SparkSession, records: Sequence[Records], targets: Sequence[Target], broken: Sequence[str] = ("missing", "deleted"), max_rounds: int = 50) -> DataFrame:
+def find_orphans(spark: SparkSession, records: Sequence[Records], targets: Sequence[Target], broken: Sequence[str] = ("missing", "deleted")) -> DataFrame:
     """Direct and inherited orphans as `ORPHANS` rows.
 
     Only statuses in `broken` are inherited (a late parent exists by now). A parent
@@ -112,7 +113,7 @@ def find_orphans(spark: SparkSession, records: Sequence[Records], targets: Seque
     edges = [(child, ref, parents[space]) for child in records for ref, (space, _) in child.refs.items() if space in parents]
     fallen = known.filter(F.col("status").isin(*broken)).select("child_table", "child_id").distinct()
     everyone = fallen
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         found = []
         for child, ref, parent in edges:
             ids = everyone.filter(F.col("child_table") == parent.name).select(F.col("child_id").alias("_id")).distinct()
@@ -130,11 +131,14 @@ def find_orphans(spark: SparkSession, records: Sequence[Records], targets: Seque
             break
         fresh = reduce(DataFrame.unionByName, found).join(result.select("child_table", "child_id", "ref"), ["child_table", "child_id", "ref"], "left_anti")
         fresh = cut(fresh.select("*", F.lit("inherited").alias("status"), F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")))
-        newly = fresh.select("child_table", "child_id").join(everyone, ["child_table", "child_id"], "left_anti").distinct()
+        # cut, as everyone would stand in its own plan twice, and the plan double with each round
+        newly = cut(fresh.select("child_table", "child_id").join(everyone, ["child_table", "child_id"], "left_anti").distinct())
         result = result.unionByName(fresh)
         if not any(r.own for r in records if r.name in {c.name for c, _, _ in edges}) or newly.isEmpty():
             break
         everyone = everyone.unionByName(newly)
+        if depth % 20 == 0:  # else the plans grow with each round
+            result, everyone = written(result, "orphans"), written(everyone, "fallen")
     return result
 
 

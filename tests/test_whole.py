@@ -6,6 +6,8 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
+from blockloom.operators import orphans
+from blockloom.operators.orphans import Records, Target, find_orphans
 from blockloom.queries import engine_queries as Q
 from blockloom.sources.manifest import ROW
 from blockloom.sources.storage import StorageConf, Store
@@ -52,3 +54,13 @@ def test_manifest_refuses_a_crooked_bound(spark, tmp_path):
     spark.range(3).selectExpr("id AS entry_id", "'logs' AS table_name", "id AS lower_bound", "'f' AS location", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS created_at", "id AS byte_count", "1L AS row_count", "false AS incomplete", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS recorded_at").write.parquet(f"{tmp_path}/block_partitions.parquet")
     with pytest.raises(Exception, match="is no multiple of 5"):
         Q.manifest_round_trip(spark, str(tmp_path))
+
+
+def test_orphans_are_inherited_to_any_depth(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "written", lambda df, name: df.localCheckpoint())
+    monkeypatch.setattr(orphans, "cut", lambda df: df.coalesce(1).localCheckpoint())
+    n = 54
+    rows = spark.createDataFrame([(i, str(i - 1), None) for i in range(1, n + 1)], "id bigint, parent string, at timestamp_ntz").coalesce(1)
+    own = F.col("id").cast("string")
+    found = find_orphans(spark, [Records("t", rows, F.col("id"), F.col("at"), {"parent": ("t", F.col("parent"))}, ("t", own))], [Target("t", rows, own, F.col("at"))])
+    assert sorted((r.child_id, r.kind, r.depth) for r in found.collect()) == [(i, "direct" if i == 1 else "inherited", i - 1) for i in range(1, n + 1)]
