@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +12,7 @@ from blockloom.engine import Config, Engine
 from blockloom.operators.builder import build_index, load_or_create
 from blockloom.sources.live import RpcClient, RpcConfig, scan_live
 from blockloom.sources.manifest import Manifest
-from blockloom.sources.storage import Store
+from blockloom.sources.storage import open_store
 from blockloom.spec import ChainSpec, eth_blocks, eth_logs
 
 
@@ -27,23 +27,29 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--end-block", type=int)
     i.add_argument("--blocks-per-partition", type=int)
     i.add_argument("--blocks-per-batch", type=int, default=1000)
+    i.add_argument("--row-group-bytes", type=int, help="size of the row groups of the files")
     i.add_argument("--skip-tables", default="", help="names separated by commas")
     i.add_argument("--yes", action="store_true", help="never ask")
     sub.add_parser("config", help="show the configuration")
-    s = sub.add_parser("sql", help="run a query, or read queries line by line")
+    s = sub.add_parser("sql", help="run a query, or read queries that end in a semicolon")
     s.add_argument("--command", dest="text")
     s.add_argument("--format", choices=("table", "csv", "json", "jsonl"), default="table")
     s.add_argument("--last-n-blocks", type=int)
     return p
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """Each row as one JSON text, nulls included, in the column `value`."""
+    return df.selectExpr("to_json(struct(*), map('ignoreNullFields', 'false')) as value")
+
+
 def rendered(df: DataFrame, form: str) -> str:
     """The result as text. The caller asks for it as a whole, so it must fit the driver."""
     if form == "table":
         return df._jdf.showString(1 << 30, 0, False).rstrip("\n")
     if form == "csv":
         return df.toPandas().to_csv(index=False).rstrip("\n")
-    rows = [r.value for r in df.selectExpr("to_json(struct(*), map('ignoreNullFields', 'false')) as value").toLocalIterator()]
+    rows = [r.value for r in json_lines(df).toLocalIterator()]
     return "\n".join(rows) if form == "jsonl" else "[" + ",".join(rows) + "]"
 
 
@@ -66,6 +72,7 @@ def open_engine(spark: SparkSession, config: Config) -> Engine:
         index = None
         conf = config.stores.get(config.store_name(name))
         if conf is not None:
+            engine.add_store(conf)
             try:
                 text = engine.store(conf).load(conf.filename)
                 index = Manifest.from_json(text) if text else None
@@ -80,7 +87,7 @@ def run_index(spark: SparkSession, config: Config, args: argparse.Namespace) ->
     conf = config.stores.get(args.store_conf or config.store_name(args.chain))
     if conf is None:
         raise LookupError(f"no store for {args.chain}")
-    store = Store(spark, conf)
+    store = open_store(spark, conf)
     size = args.blocks_per_partition or chain.blocks_per_partition
     manifest = load_or_create(store, chain.name, {t: (e.block_column, e.schema) for t, e in chain.entities.items()}, size)
     head = chain.head()
@@ -90,14 +97,56 @@ def run_index(spark: SparkSession, config: Config, args: argparse.Namespace) ->
     if args.end_block is not None and args.end_block % size and not args.yes and sys.stdin.isatty():
         if input("the last partition will be incomplete, continue? [y/N] ").strip().lower() != "y":
             return 1
-    report = build_index(spark, manifest, lambda t, a, b: scan_live(spark, chain, t, start=a, end=b, blocks_per_batch=args.blocks_per_batch), store, head, args.start_block, args.end_block, skip)
-    for p in report.finished:
-        print(f"{p.table} {p.lower_bound} {p.row_count} rows")
+
+    def said(finished: list, done: int, total: int) -> None:
+        for p in finished:
+            print(f"{p.table} {p.lower_bound} {p.row_count} rows")
+        print(f"{done} of {total} blocks", file=sys.stderr)
+
+    report = build_index(
+        spark, manifest, lambda t, a, b: scan_live(spark, chain, t, start=a, end=b, blocks_per_batch=args.blocks_per_batch),
+        store, head, args.start_block, args.end_block, skip, stride=64, row_group_bytes=args.row_group_bytes, progress=said,
+    )
     for table, start, error in report.failed:
         print(f"failed: {table} {start}: {error}", file=sys.stderr)
     return 1 if report.failed else 0
 
 
+def statements(lines: Iterable[str]) -> Iterable[str]:
+    """Statements that end in a semicolon at the end of a line, over as many lines as they take; `\\q` ends them."""
+    held: list[str] = []
+    for line in lines:
+        if not held and line.strip() == "\\q":
+            return
+        held.append(line)
+        if line.rstrip().endswith(";"):
+            yield "".join(held)
+            held = []
+    if "".join(held).strip():
+        yield "".join(held)
+
+
+def repl(engine: Engine, lines: Iterable[str], form: str, prompt: bool = False) -> int:
+    """Run each statement and go on after one that fails; 1 if any did."""
+    failed = 0
+
+    def prompted() -> Iterable[str]:
+        while True:
+            try:
+                yield input("> ") + "\n"
+            except EOFError:
+                return
+
+    for text in statements(prompted() if prompt else lines):
+        if text.strip().strip(";"):
+            try:
+                print(rendered(engine.sql(text), form))
+            except Exception as e:  # noqa: BLE001 - the next statement may be right
+                print(f"error: {e}", file=sys.stderr)
+                failed = 1
+    return failed
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     config = Config.load(args.config)
@@ -116,10 +165,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             return run_index(spark, config, args)
         engine = open_engine(spark, config)
         engine.set_window(last_n=args.last_n_blocks)
-        for text in [args.text] if args.text else sys.stdin:
-            if text.strip():
-                print(rendered(engine.sql(text.strip().rstrip(";")), args.format))
-        return 0
+        if args.text:
+            print(rendered(engine.sql(args.text), args.format))
+            return 0
+        return repl(engine, sys.stdin, args.format, sys.stdin.isatty())
     except Exception as e:  # noqa: BLE001 - a message and a status is all a shell can use
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -12,19 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.functions.dialect import register_dialect, translate
 from blockloom.functions.ledger import register_current_block
+from blockloom.plans.names import replaced
 from blockloom.plans.pruning import is_pruner
 from blockloom.session import scratch_path
-from blockloom.sources.index_scan import pruned_partitions, scan_index
+from blockloom.sources.index_scan import pruned_partitions, read_files, scan_index
 from blockloom.sources.live import scan_live
 from blockloom.sources.manifest import Manifest
-from blockloom.sources.storage import StorageConf, Store
+from blockloom.sources.storage import Location, PublishedStore, StorageConf, Store, open_store, store_for
 from blockloom.spec import BLOCKS_PER_PARTITION, ChainSpec
 
 
-#: Words that may follow a table name without being its alias.
-_AFTER_TABLE = "where|join|inner|left|right|full|cross|semi|anti|natural|lateral|on|using|group|order|having|limit|offset|union|intersect|except|window|tablesample|pivot|cluster|distribute|sort"
-
-
 @dataclass
 class Config:
     """Chains and stores, as read from TOML."""
@@ -90,7 +87,8 @@ class Engine:
         self.chains: dict[str, ChainSpec] = {}
         self.indexes: dict[str, Manifest] = {}
         self.bounds = Bounds()
-        self._stores: dict[StorageConf, Store] = {}
+        self.stores: list[StorageConf] = []
+        self._stores: dict[StorageConf, Store | PublishedStore] = {}
         self._heads: dict[str, int] = {}
         self._empty: dict[str, str] = {}
         register_dialect(spark)
@@ -118,12 +116,23 @@ class Engine:
     def head(self, chain: str) -> int | None:
         return self._heads.get(chain)
 
-    def store(self, conf: StorageConf) -> Store:
+    def store(self, conf: StorageConf) -> Store | PublishedStore:
         """One store per configuration; one that cannot be opened is not kept."""
         if conf not in self._stores:
-            self._stores[conf] = Store(self.spark, conf)
+            self._stores[conf] = open_store(self.spark, conf)
         return self._stores[conf]
 
+    def add_store(self, conf: StorageConf) -> None:
+        """Configure a store. Once there is one, files that lie in none of them are refused."""
+        if conf not in self.stores:
+            self.stores.append(conf)
+
+    def _readable(self, location: str) -> str:
+        """Where Spark can read a partition file."""
+        if not self.stores:
+            return location
+        return self.store(store_for(self.stores, Location(location))).readable(location)
+
     def set_window(self, start: int | None = None, end: int | None = None, last_n: int | None = None) -> None:
         """Limit every scan of the session to these blocks."""
         self.bounds = Bounds(start, end, last_n)
@@ -151,7 +160,7 @@ class Engine:
         index = self.indexes[chain].table(table) if chain in self.indexes else None
         if index is not None:
             start, end = self.bounds.on_index(self.head(chain))
-            return scan_index(self.spark, index, columns, filters, limit, start, end)
+            return scan_index(self.spark, index, columns, filters, limit, start, end, self._readable)
         return scan_live(self.spark, self.chains[chain], table, columns, filters, limit, self.bounds.start, self.bounds.end, self.bounds.last_n, blocks_per_batch=self.blocks_per_batch)
 
     def files(self, name: str, filters: Sequence[str] = ()) -> list[str]:
@@ -168,89 +177,93 @@ class Engine:
             "columns": self.spark.createDataFrame(cols, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean"),
         }
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
         """A query over `chain.table` names, or bare names of the default chain; also
-        `information_schema.tables` and `.columns`, SHOW TABLES and DESCRIBE, and the
-        spellings of `functions.dialect`.
+        `information_schema.tables` and `.columns`, SHOW TABLES, DESCRIBE and EXPLAIN, and
+        the spellings of `functions.dialect`. args: values of its parameters, by name (`:x`)
+        or in order (`?`).
 
-        The query is planned once over all files. Conditions on the block column that
+        The query is planned once over empty tables. Conditions on the block column that
         the optimizer has put on a table's scan then choose its files, whatever their
         form, or, for a table without an index, the blocks to fetch; and the query is
         planned again over those. A table without an index needs such a condition or a
-        window.
+        window. EXPLAIN shows that second plan, as one row; without an index and a condition
+        it shows the first.
         """
         asked = re.fullmatch(r"\s*(?:show\s+tables|(?:describe|desc)\s+(?:table\s+)?([\w.`]+))\s*;?\s*", text, re.I)
         if asked:
             return self.describe(asked[1].replace("`", "")) if asked[1] else self.information_schema()["tables"]
-        plain = translate(text)
-        for name in ("tables", "columns"):
-            changed = _name(plain, f"information_schema.{name}", f"information_schema__{name}")
-            if changed != plain:
-                self.information_schema()[name].createOrReplaceTempView(f"information_schema__{name}")
-                plain = changed
+        asked = re.match(r"\s*explain(?:\s+(extended|codegen|cost|formatted))?\s+(?=\S)", text, re.I)
+        if asked:
+            plan = self._planned(text[asked.end() :], args, strict=False)._jdf.queryExecution()
+            mode = getattr(self.spark._jvm.org.apache.spark.sql.execution, "ExplainMode").fromString((asked[1] or "simple").lower())
+            return self.spark.createDataFrame([(plan.explainString(mode),)], "plan string")
+        return self._planned(text, args)
+
+    def _view_name(self, parts: list[str]) -> str | None:
+        """The view of a table name: table, chain.table or main.chain.table."""
+        low = [p.lower() for p in parts]
+        if len(low) == 3 and low[0] == "main":
+            low = low[1:]
+        if len(low) == 1:
+            low = [self.default, *low]
+        if len(low) == 2 and low[0] == "information_schema" and low[1] in ("tables", "columns"):
+            return f"information_schema__{low[1]}"
+        known = {(c.lower(), t.lower()): f"{c}__{t}" for c, t in self.tables()}
+        return known.get(tuple(low))
+
+    def _planned(self, text: str, args: dict | list | None, strict: bool = True) -> DataFrame:
+        plain, used = replaced(self.spark, translate(text.strip().rstrip(";")), self._view_name)
         views = {f"{c}__{t}": (c, t) for c, t in self.tables()}
-        for v, (c, t) in views.items():
-            plain = _name(plain, f"{c}.{t}", v)
-            if c == self.default:
-                plain = _name(plain, t, v, f" AS {t}")
-        used = [v for v in views if v in plain]
         for v in used:
-            self._view(v, *views[v], None)
-        df = self.spark.sql(plain)
+            if v.startswith("information_schema__"):
+                self.information_schema()[v.removeprefix("information_schema__")].createOrReplaceTempView(v)
+            else:
+                self._placeholder(*views[v]).createOrReplaceTempView(v)
+        used = [v for v in used if v in views]
+        df = self.spark.sql(plain, args)
+        if not used:
+            return df
         found = _scan_conditions(df)
-        again = False
         for v in used:
             chain, table = views[v]
             column = self.chains[chain].entities[table].block_column
             # a table that is scanned twice keeps what either scan needs
             useful = [[c for c in s if is_pruner(self.spark, c, column)] for s in found.get(v, [])]
             condition = " OR ".join("(" + " AND ".join(f"({c})" for c in s) + ")" for s in useful) if useful and all(useful) else None
-            if condition is not None or not self._indexed(chain, table):
-                self._view(v, chain, table, condition or "")
-                again = True
-        return self.spark.sql(plain) if again else df
+            try:
+                self._rows(chain, table, condition).createOrReplaceTempView(v)
+            except ValueError:
+                if strict or self._indexed(chain, table):
+                    raise
+        return self.spark.sql(plain, args)
 
     def _indexed(self, chain: str, table: str) -> bool:
         return chain in self.indexes and self.indexes[chain].table(table) is not None
 
-    def _view(self, view: str, chain: str, table: str, condition: str | None) -> None:
-        """Define a view over what a condition leaves; None for the plan alone."""
+    def _rows(self, chain: str, table: str, condition: str | None) -> DataFrame:
+        """What a condition on the block column leaves of a table."""
         filters = [condition] if condition else []
         if not self._indexed(chain, table):
-            entity, b = self.chains[chain].entities[table], self.bounds
-            if condition is None:
-                df = self.spark.read.schema(entity.schema).parquet(self._placeholder(chain, table))
-            else:
-                df = scan_live(self.spark, self.chains[chain], table, None, filters, None, b.start, b.end, b.last_n, blocks_per_batch=self.blocks_per_batch)
-        else:
-            index = self.indexes[chain].table(table)
-            start, end = self.bounds.on_index(self.head(chain))
-            files = [p.location for p in pruned_partitions(self.spark, index, filters, start, end)]
-            df = self.spark.read.schema(index.schema).parquet(*files) if files else self.spark.createDataFrame([], index.schema)
-            if start is not None:
-                df = df.filter(f"`{index.block_column}` >= {start}")
-            if end is not None:
-                df = df.filter(f"`{index.block_column}` < {end}")
-        df.createOrReplaceTempView(view)
-
-    def _placeholder(self, chain: str, table: str) -> str:
-        """An empty parquet folder with the table's schema, for planning."""
+            b = self.bounds
+            return scan_live(self.spark, self.chains[chain], table, None, filters, None, b.start, b.end, b.last_n, blocks_per_batch=self.blocks_per_batch)
+        index = self.indexes[chain].table(table)
+        start, end = self.bounds.on_index(self.head(chain))
+        df = read_files(self.spark, index, pruned_partitions(self.spark, index, filters, start, end), self._readable)
+        if start is not None:
+            df = df.filter(f"`{index.block_column}` >= {start}")
+        if end is not None:
+            df = df.filter(f"`{index.block_column}` < {end}")
+        return df
+
+    def _placeholder(self, chain: str, table: str) -> DataFrame:
+        """An empty parquet table in a folder that tells its name, for planning."""
         key = f"{chain}/{table}"
+        schema = (self.indexes[chain].table(table) if self._indexed(chain, table) else self.chains[chain].entities[table]).schema
         if key not in self._empty:
             self._empty[key] = f"{scratch_path(self.spark, 'plan')}/{key}/0.parquet"
-            self.spark.createDataFrame([], self.chains[chain].entities[table].schema).write.parquet(self._empty[key])
-        return self._empty[key]
-
-
-def _name(text: str, old: str, new: str, alias: str = "") -> str:
-    """Replace a table name outside quotes; a bare one only after FROM, JOIN or a comma of FROM, where it keeps its name as alias."""
-    parts = re.split(r"('(?:[^'\\]|\\.|'')*')", text)
-    if "." in old:
-        pattern = re.compile(rf"(?<![\w.`]){re.escape(old)}(?!\w)", re.I)
-        return "".join(p if i % 2 else pattern.sub(new, p) for i, p in enumerate(parts))
-    # an alias that follows already names it
-    pattern = re.compile(rf"(\b(?:from|join)\s+){re.escape(old)}\b(?!\s*\.)(\s+(?:as\s+)?(?!(?:{_AFTER_TABLE})\b)[a-z_]\w*)?", re.I)
-    return "".join(p if i % 2 else pattern.sub(lambda m: m[1] + new + (m[2] or alias), p) for i, p in enumerate(parts))
+            self.spark.createDataFrame([], schema).write.parquet(self._empty[key])
+        return self.spark.read.schema(schema).parquet(self._empty[key])
 
 
 def _scan_conditions(df: DataFrame) -> dict[str, list[list[str]]]:

@@ -6,8 +6,6 @@ under ANSI mode.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +36,16 @@ def _limbs(col: Column) -> tuple[Column, Column]:
 
 
 def hex_to_double(col: Column) -> Column:
-    """A hex number of up to 256 bits as double, from 48-bit pieces; null if it is none.
+    """A hex number of up to 288 bits as the nearest double, ties to even; null if it is none.
 
-    Each piece is exact as a double and they are added from the highest down, so
-    the result may differ from the nearest double in the last place.
+    The first 64 bits are exact as a decimal; where any bit follows them their last one
+    is set, which decides ties as the whole number would.
     """
     digits, good = _limbs(col)
-    padded = F.lpad(digits, 72, "0")
-    pieces = [F.conv(F.substring(padded, 1 + 12 * i, 12), 16, 10).cast("double") * float(2 ** (48 * (5 - i))) for i in range(6)]
-    return F.when(good & (F.length(digits) <= 72), reduce(lambda a, b: a + b, pieces))
+    top = F.conv(F.substring(digits, 1, 16), 16, 10).cast("decimal(20,0)")
+    more = F.substring(digits, 17, 1 << 30).rlike("[1-9a-fA-F]") & (top % 2 == 0)
+    scale = F.element_at(F.array(*[F.lit(float(2 ** (4 * i))) for i in range(57)]), F.greatest(F.length(digits) - 15, F.lit(1)))
+    return F.when(good & (F.length(digits) <= 72), (top + more.cast("int")).cast("double") * scale)
 
 
 @F.pandas_udf(T.StringType())
@@ -87,10 +86,17 @@ def bytes_to_h(n: Column) -> Column:
 
 
 def json_add_key(doc: Column, key: str, value: Column) -> Column:
-    """A flat JSON object with a text key added or replaced; any other text stays as it is."""
-    parsed = F.from_json(doc, "map<string,string>")
-    kept = F.map_filter(parsed, lambda k, _: k != key)
-    return F.when(doc.rlike(r"^\s*\{") & parsed.isNotNull(), F.to_json(F.map_concat(kept, F.create_map(F.lit(key), value)))).otherwise(doc)
+    """A JSON object with a key added or replaced, its keys in order and every other value as it was.
+
+    Any other JSON, other text and null stay as they are. A null value becomes a JSON null.
+    """
+    parsed = F.try_parse_json(doc)
+    fields = F.when(doc.rlike(r"^\s*\{"), parsed).cast("map<string,variant>")
+    old = F.map_filter(fields, lambda k, _: k != key)
+    added = F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
+    every = F.map_concat(old, F.create_map(F.lit(key), added))
+    keys = F.array_sort(F.map_keys(every))
+    return F.coalesce(F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(every, k)))), doc)
 
 
 def register_current_block(spark: SparkSession, heads: dict[str, int]) -> None:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.sources.manifest import BlockPartition, Manifest, TableIndex
-from blockloom.sources.storage import Store
+from blockloom.session import hadoop
+from blockloom.sources.storage import PublishedStore, Store
 
 
 def _now() -> datetime.datetime:
@@ -26,7 +27,7 @@ def _bare_types(schema) -> list:
     return [(f.name, f.dataType) for f in schema.fields]
 
 
-def build_partition(index: TableIndex, rows: DataFrame, store: Store, chain: str, start: int, end: int) -> BlockPartition:
+def build_partition(index: TableIndex, rows: DataFrame, store: Store | PublishedStore, chain: str, start: int, end: int) -> BlockPartition:
     """Write the rows of [start, end) as one file sorted by block number, and add it to the index.
 
     The start is checked before anything is written, and so is the schema. A range
@@ -38,33 +39,65 @@ def build_partition(index: TableIndex, rows: DataFrame, store: Store, chain: str
     if _bare_types(rows.schema) != _bare_types(index.schema):
         raise ValueError(f"{index.name}: the rows have another schema than the index")
     spark, c = rows.sparkSession, index.block_column
-    where = store.url(partition_path(chain, index.name, start))
-    rows.filter((F.col(c) >= start) & (F.col(c) < end)).coalesce(1).sortWithinPartitions(c).write.mode("overwrite").parquet(where)
-    count = spark.read.schema(index.schema).parquet(where).count()
+    # one task writes, but those that read keep their own parallelism
+    rows = rows.filter((F.col(c) >= start) & (F.col(c) < end)).repartition(1).sortWithinPartitions(c)
+    where = store.write_partition(rows, partition_path(chain, index.name, start))
+    count = spark.read.schema(index.schema).parquet(store.readable(where)).count()
     made = BlockPartition(index.name, start, where, _now(), store.size(where), count, end - start < size)
     index.add(made)
     return made
 
 
-def build_range(index: TableIndex, rows: DataFrame, store: Store, chain: str, start: int, end: int) -> list[BlockPartition]:
-    """Write all partitions of [start, end) in one job.
+def _files(spark: SparkSession, base: str) -> dict[int, frozenset[str]]:
+    """The data files of each partition folder below `base`."""
+    fs, path = hadoop(spark, base)
+    if not fs.exists(path):
+        return {}
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("lower_bound=")]
+    return {int(p.getName().removeprefix("lower_bound=")): frozenset(s.getPath().getName() for s in fs.listStatus(p)) for p in found}
+
+
+def build_range(index: TableIndex, rows: DataFrame, store: Store | PublishedStore, chain: str, start: int, end: int, row_group_bytes: int | None = None) -> list[BlockPartition]:
+    """Write all partitions of [start, end) in one job, in place of those that are there.
 
     Rows are shuffled once, by the number of their partition, and sorted inside, so
-    each task writes whole files and no block's rows are spread over files.
+    each task writes whole files and no block's rows are spread over files. Doing it
+    again replaces the files, so a repeated build repeats no record. Of partitions
+    without rows only the last of the range is recorded, with a row count of 0 and no
+    file, as the next build starts behind it. row_group_bytes: size of
+    the files' row groups, where the writer's own is not wanted.
     """
     size, c, spark = index.blocks_per_partition, index.block_column, rows.sparkSession
     if start % size:
         raise ValueError(f"{start} is no multiple of {size}")
+    if _bare_types(rows.schema) != _bare_types(index.schema):
+        raise ValueError(f"{index.name}: the rows have another schema than the index")
+    if isinstance(store, PublishedStore):
+        # files are addressed by content: one by one
+        return [build_partition(index, rows, store, chain, low, min(low + size, end)) for low in range(start, end, size)]
     lower = (F.floor(F.col(c) / size) * size).cast("bigint")
     part = rows.filter((F.col(c) >= start) & (F.col(c) < end)).withColumn("lower_bound", lower)
     base = store.url(f"{chain}/{index.name}")
-    part.repartition("lower_bound").sortWithinPartitions("lower_bound", c).write.mode("append").partitionBy("lower_bound").parquet(base)
-    counts = {r.lower_bound: r.n for r in spark.read.parquet(base).filter((F.col("lower_bound") >= start) & (F.col("lower_bound") < end)).groupBy("lower_bound").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = _files(spark, base)
+    writer = part.repartition("lower_bound").sortWithinPartitions("lower_bound", c).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lower_bound")
+    (writer.option("parquet.block.size", row_group_bytes) if row_group_bytes else writer).parquet(base)
+    now = _files(spark, base)
+    # folders that this build did not write hold rows that are no longer there
+    fresh = {low for low, files in now.items() if start <= low < end and files != before.get(low)}
+    counts = {}
+    if fresh:
+        built = spark.read.schema(index.schema).option("basePath", base).parquet(*[f"{base}/lower_bound={low}" for low in sorted(fresh)])
+        counts = {r.low: r.n for r in built.groupBy((F.floor(F.col(c) / size) * size).cast("bigint").alias("low")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for low in now:
+        if start <= low < end and low not in fresh:
+            fs, path = hadoop(spark, f"{base}/lower_bound={low}")
+            fs.delete(path, True)
+    for low in [low for low in index.partitions if start <= low < end]:
+        del index.partitions[low]
     made = []
-    for low in range(start, end, size):
+    for low in sorted(fresh | ({(end - 1) // size * size} if end > start else set())):
         where = f"{base}/lower_bound={low}"
-        if low in counts:
-            made.append(BlockPartition(index.name, low, where, _now(), store.size(where), counts[low], end - low < size))
+        made.append(BlockPartition(index.name, low, where, _now(), store.size(where) if low in fresh else 0, counts.get(low, 0), end - low < size))
     for p in made:
         index.add(p)
     return made
@@ -98,7 +131,7 @@ class BuildReport:
     failed: list[tuple[str, int, str]]
 
 
-def load_or_create(store: Store, chain: str, tables: dict[str, tuple[str, object]], blocks_per_partition: int) -> Manifest:
+def load_or_create(store: Store | PublishedStore, chain: str, tables: dict[str, tuple[str, object]], blocks_per_partition: int) -> Manifest:
     """The store's manifest, whose chain must agree and whose partition size wins, or a new one with all tables."""
     text = store.load(store.conf.filename)
     if text:
@@ -112,12 +145,15 @@ def load_or_create(store: Store, chain: str, tables: dict[str, tuple[str, object
     return made
 
 
-def build_index(spark: SparkSession, manifest: Manifest, rows: Callable[[str, int, int], DataFrame], store: Store, head: int, start: int | None = None, end: int | None = None, skip: Sequence[str] = (), threads: int = 4) -> BuildReport:
-    """Build partition after partition of every table that is not skipped, from where the index ends.
+def build_index(spark: SparkSession, manifest: Manifest, rows: Callable[[str, int, int], DataFrame], store: Store | PublishedStore, head: int, start: int | None = None, end: int | None = None, skip: Sequence[str] = (), threads: int = 4, stride: int = 1, row_group_bytes: int | None = None, progress: Callable[[list[BlockPartition], int, int], None] | None = None) -> BuildReport:
+    """Build the partitions of every table that is not skipped, from where the index ends.
 
-    rows: gives a table's rows for a block range. The tables of one range are built
-    at the same time. If one of them fails, the build stops and the manifest keeps
-    what was saved before; otherwise it is saved after each range.
+    rows: gives a table's rows for a block range. Up to `stride` partitions are one
+    job, and the tables of one range are built at the same time. If one of them
+    fails, the build stops and the manifest keeps what was saved before; otherwise
+    it is saved after each range, and `progress` gets the range's partitions, how many
+    blocks are done, and of how many. A build that is repeated after a failure replaces
+    what the failed one left.
     """
     size = manifest.blocks_per_partition
     todo = [manifest.tables[n] for n in manifest.names() if n not in skip]
@@ -125,15 +161,20 @@ def build_index(spark: SparkSession, manifest: Manifest, rows: Callable[[str, in
     if at % size:
         raise ValueError(f"{at} is no multiple of {size}")
     report = BuildReport([], [])
+    first, stop = at, end if end is not None else head + 1
     while True:
         step = next_step(at, size, end, head)
         if step.kind == "done":
             return report
+        while step.kind == "full" and step.end - at < stride * size and (more := next_step(step.end, size, end, head)).kind != "done":
+            step = Step(more.kind, at, more.end)
 
-        def one(index: TableIndex, step: Step = step) -> BlockPartition | Exception:
+        def one(index: TableIndex, step: Step = step) -> list[BlockPartition] | Exception:
+            kept = dict(index.partitions)
             try:
-                return build_partition(index, rows(index.name, step.start, step.end), store, manifest.chain, step.start, step.end)
+                return build_range(index, rows(index.name, step.start, step.end), store, manifest.chain, step.start, step.end, row_group_bytes)
             except Exception as e:  # noqa: BLE001 - reported with the others
+                index.partitions = kept
                 return e
 
         with ThreadPoolExecutor(threads) as pool:
@@ -141,10 +182,12 @@ def build_index(spark: SparkSession, manifest: Manifest, rows: Callable[[str, in
                 if isinstance(result, Exception):
                     report.failed.append((index.name, step.start, str(result)))
                 else:
-                    report.finished.append(result)
+                    report.finished += result
         if report.failed:
             return report
         store.save(store.conf.filename, manifest.to_json())
+        if progress:
+            progress([p for p in report.finished if p.lower_bound >= step.start], step.end - first, stop - first)
         if step.kind == "last":
             return report
-        at += size
+        at = step.end

@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.session import cut, written
+from blockloom.session import written
 
 #: Result of `find_orphans`.
 ORPHANS = "child_table string, child_id bigint, ref string, status string, kind string, depth int"
@@ -130,9 +130,9 @@ def find_orphans(spark: SparkSession, records: Sequence[Records], targets: Seque
         if not found:
             break
         fresh = reduce(DataFrame.unionByName, found).join(result.select("child_table", "child_id", "ref"), ["child_table", "child_id", "ref"], "left_anti")
-        fresh = cut(fresh.select("*", F.lit("inherited").alias("status"), F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")))
-        # cut, as everyone would stand in its own plan twice, and the plan double with each round
-        newly = cut(fresh.select("child_table", "child_id").join(everyone, ["child_table", "child_id"], "left_anti").distinct())
+        fresh = written(fresh.select("*", F.lit("inherited").alias("status"), F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")), "orphans")
+        # written, as everyone would stand in its own plan twice, and the plan double with each round
+        newly = written(fresh.select("child_table", "child_id").join(everyone, ["child_table", "child_id"], "left_anti").distinct(), "fallen")
         result = result.unionByName(fresh)
         if not any(r.own for r in records if r.name in {c.name for c, _, _ in edges}) or newly.isEmpty():
             break

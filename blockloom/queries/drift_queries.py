@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.operators.drift import profiles, schema_changes, unify, versions
-from blockloom.session import cut, table
+from blockloom.session import table, written
 
 FIELDS = ["blockHash", "blockNumber", "from", "gas", "gasPrice", "hash", "input", "nonce", "to", "transactionIndex", "value", "type", "chainId", "v", "r", "s"]
 
 
 def _inputs(spark: SparkSession, base: str):
     files, records, names = (table(spark, base, n) for n in ("raw_files", "raw_txns", "field_names"))
-    return files, records, names, cut(profiles(records, names))  # a row per file, name and type; read several times
+    return files, records, names, written(profiles(records, names), "profile")  # a row per file, name and type; read several times
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockloom.session import scratch_path, table
-from blockloom.sources.storage import Location
+from blockloom.sources.storage import location_parts
 
 
 def _sql(text: str, *names: str):
@@ -70,10 +70,9 @@ def sinks(spark: SparkSession, base: str) -> DataFrame:
 
 
 def locations(spark: SparkSession, base: str) -> DataFrame:
-    """Scheme, path and file name of every manifest location, by expression; checked against the value type in tests."""
-    loc = F.col("location")
-    assert Location("file:///a").scheme == "file"
-    return table(spark, base, "block_partitions").select("entry_id", F.parse_url(loc, F.lit("PROTOCOL")).alias("scheme"), F.parse_url(loc, F.lit("PATH")).alias("path"))
+    """Scheme and path of every manifest location, by expression; checked against the value type in tests."""
+    scheme, _, path = location_parts(F.col("location"))
+    return table(spark, base, "block_partitions").select("entry_id", scheme.alias("scheme"), F.concat(F.lit("/"), path).alias("path"))
 
 
 def table_union(spark: SparkSession, base: str) -> DataFrame:

@@ -39,8 +39,9 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and set as the checkpoint folder; it is removed at exit.
+    Only a local session that names none (tests, a laptop) gets a temporary folder,
+    which is set as the checkpoint folder and removed at exit; on a cluster it is an
+    error, as its executors would not share such a folder.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -48,35 +49,68 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="blockloom-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_ROOTS: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below this session's own part of the shared folder, which the JVM removes when it ends, on any file system."""
+    key = spark.sparkContext.applicationId
+    if key not in _ROOTS:
+        root = f"{shared_dir(spark).rstrip('/')}/blockloom-{key}-{uuid.uuid4().hex}"
+        fs, path = hadoop(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS[key] = root
+    return f"{_ROOTS[key]}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut lineage: write `df` as parquet to the shared folder and read it back.
 
-    The copy outlives a lost executor and is columnar, so later reads prune it.
-    The folder belongs to the session; its owner removes it with the session.
+    The copy outlives a lost executor and is columnar, so later reads prune it. The
+    plan runs once; a checkpoint would run it twice.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; for small intermediate tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def hadoop(spark: SparkSession, url: str) -> tuple:
+    """The Hadoop file system of a URL, and its path there."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(url)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
+def move(spark: SparkSession, source: str, target: str, replace: bool = False) -> None:
+    """Rename a file or folder; a target that exists is an error, or replaced in one step where the file system can.
+
+    A rename that did not happen is an error.
+    """
+    sc = spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs
+    how = getattr(fs, "Options$Rename")
+    options = sc._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE if replace else how.NONE
+    context = fs.FileContext.getFileContext(fs.Path(target).toUri(), sc._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(fs.Path(source)), context.makeQualified(fs.Path(target)), options)
+
+
+def few(df: DataFrame, most: int) -> list:
+    """All rows of a table that must be small; more than `most` are an error, never a silent cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
 
 
 def local_path(uri: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 from blockloom.plans.blocks import BlockSet, batches, blocks_frame, resolve_bounds
 from blockloom.plans.pruning import classify, kept
-from blockloom.session import cut
+from blockloom.session import few, written
 from blockloom.spec import ChainSpec, EntitySpec
 
 #: Block numbers that the driver holds one by one at most; denser sets are kept as ranges anyway.
@@ -108,9 +108,7 @@ def wanted_blocks(spark: SparkSession, entity: EntitySpec, filters: Sequence[str
     numbers = kept(blocks_frame(spark, BlockSet.span(low, high), c), pruners)
     # islands of survivors; only their ranges come to the driver
     spans = numbers.withColumn("_p", F.spark_partition_id()).withColumn("_g", F.col(c) - F.row_number().over(W.partitionBy("_p").orderBy(c))).groupBy("_p", "_g").agg(F.min(c).alias("a"), F.max(c).alias("b"))
-    found = sorted((r.a, r.b + 1) for r in spans.limit(MAX_RANGES + 1).collect())
-    if len(found) > MAX_RANGES:
-        raise ValueError("the filter leaves too many separate block ranges")
+    found = sorted((r.a, r.b + 1) for r in few(spans, MAX_RANGES))
     out: list[list[int]] = []
     for a, b in found:
         if out and out[-1][1] == a:
@@ -192,6 +190,11 @@ class RpcClient:
         return [t for block in self.batch("trace_block", [[hex(n)] for n in range(start, end)]) for t in block or []]
 
 
+def nested_logs(receipts: DataFrame, column: str = "logs") -> DataFrame:
+    """One row per log of receipts that hold theirs as an array of structs; a receipt without logs has none."""
+    return receipts.select(*[c for c in receipts.columns if c != column], F.inline(column))
+
+
 def _post(url: str, body: bytes, timeout: float) -> bytes:
     request = urllib.request.Request(url, body, {"content-type": "application/json"})
     with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
@@ -203,7 +206,7 @@ def _post(url: str, body: bytes, timeout: float) -> bytes:
 def read_assets(spark: SparkSession, pattern: str) -> DataFrame:
     """Asset files (`.../<address>/info.json`) with their folder's name as address; unreadable ones are left out."""
     rows = spark.read.schema(ASSET).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(pattern)
-    return cut(rows.withColumn("address", F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1))).filter("_bad is null").drop("_bad")
+    return written(rows.withColumn("address", F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1))).filter("_bad is null").drop("_bad")
 
 
 def load_chain(spark: SparkSession, base: str, name: str) -> tuple[dict, DataFrame]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,8 +121,8 @@ class Manifest:
         return sum(len(t.partitions) for t in self.tables.values())
 
     def resume_block(self) -> int:
-        """The earliest block that some table still needs."""
-        return min((t.next_block() for t in self.tables.values()), default=0)
+        """The earliest block that some table still needs; one without any partition was skipped and asks for nothing."""
+        return min((t.next_block() for t in self.tables.values() if t.partitions), default=0)
 
     def is_valid(self) -> bool:
         return self.blocks_per_partition > 0 and all(n == t.name and t.block_column in t.schema.names and t.blocks_per_partition == self.blocks_per_partition for n, t in self.tables.items())
@@ -154,6 +154,21 @@ class Manifest:
         return out
 
 
+def upserted(entries: DataFrame, order: Sequence[str], blocks_per_partition: int) -> DataFrame:
+    """What `TableIndex.add` leaves when all entries are added in `order`: the last of each table and lower bound.
+
+    entries: `table_name, lower_bound` and what they are to keep. A null lower bound or
+    one that is no multiple of `blocks_per_partition` is an error, as there. Entries that tie
+    in `order` are told apart by their other columns.
+    """
+    size = blocks_per_partition
+    message = F.concat(F.coalesce(F.col("lower_bound").cast("string"), F.lit("null")), F.lit(f" is no multiple of {size}"))
+    bound = F.when(F.col("lower_bound") % size == 0, F.col("lower_bound")).otherwise(F.raise_error(message).cast("bigint"))
+    kept = [c for c in entries.columns if c not in ("table_name", "lower_bound", *order)]
+    last = entries.withColumn("lower_bound", bound).groupBy("table_name", "lower_bound").agg(F.max(F.struct(*order, *kept)).alias("_last"))
+    return last.select("table_name", "lower_bound", "_last.*")
+
+
 def save_partitions(store: Store, name: str, manifest: Manifest, partitions: DataFrame) -> None:
     """Save a manifest with partitions that are rows (`ROW`), of any number, one per table and lower bound.
 
