@@ -8,13 +8,16 @@ batch again to the same place.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.session import local_path
+from blockloom.session import hadoop, move
 
 
 def checksum(columns: Sequence[str]) -> Column:
@@ -37,85 +40,126 @@ def last_success(runs: DataFrame, job: str = "index") -> DataFrame:
     return runs.filter((F.col("job") == job) & (F.col("status") == "succeeded")).groupBy("table_name").agg(F.max("snapshot_at").alias("snapshot"))
 
 
-def changed_since(entries: DataFrame, snapshots: DataFrame, key: Sequence[str], compared: Sequence[str], at: str = "recorded_at", tie: str = "entry_id") -> DataFrame:
-    """Keys whose newest entry is unseen and new or different, with that entry.
+def listing(entries: DataFrame, key: Sequence[str], compared: Sequence[str], at: str = "recorded_at", tie: str = "entry_id") -> DataFrame:
+    """The newest entry of each key, as key, at, tie, compared and their checksum."""
+    return newest(entries, key, [at, tie], compared).withColumn("checksum", checksum(compared))
 
-    The manifest is the newest entry of each key as of its table's snapshot, with
-    a checksum over `compared`; the listing is the newest entry overall. A table
-    without a snapshot has an empty manifest: all its keys are new. An entry whose
-    `at` is null cannot be placed in time; it counts as seen. Both sides come from
-    one aggregation by key, so the anti-join needs no further shuffle of entries.
+
+def seen(entries: DataFrame, snapshots: DataFrame, at: str = "recorded_at") -> tuple[DataFrame, DataFrame]:
+    """(entries that the run of each table's snapshot has seen, the others).
+
+    A table without a snapshot has seen nothing. An entry whose `at` is null cannot be
+    placed in time; it counts as seen, also in a table without a snapshot.
     """
-    # the last run's snapshots: one row per table of the ledger, small by nature
-    picked = entries.select(*dict.fromkeys([*key, "table_name", at, tie, *compared]))
-    marked = picked.join(snapshots.select("table_name", "snapshot"), "table_name", "left").withColumn("_seen", F.coalesce(F.col(at) <= F.col("snapshot"), F.col(at).isNull()))
-    state = F.struct(F.col(at), F.col(tie), checksum(compared).alias("checksum"), *[F.col(c) for c in compared])
-    both = marked.groupBy(*key).agg(F.max(F.when(F.col("_seen"), state)).alias("_manifest"), F.max(state).alias("_listing"), F.max_by("_seen", state).alias("_old"))
-    listing = both.filter(~F.col("_old")).select(*key, F.col("_listing.*"), F.col("_manifest.checksum").alias("_done"))
-    return listing.filter(~F.col("_done").eqNullSafe(F.col("checksum"))).drop("_done")
+    # a row per table of the ledger, small by nature
+    marked = entries.join(snapshots.select(F.col("table_name").alias("_t"), "snapshot"), F.col("table_name") == F.col("_t"), "left").drop("_t")
+    old = F.coalesce(F.col(at) <= F.col("snapshot"), F.col(at).isNull())
+    return marked.filter(old).drop("snapshot"), marked.filter(~old).drop("snapshot")
 
 
 class Ledger:
-    """A manifest of finished batches in a folder: `batches/<id>` and `commits/<id>.json`.
+    """A manifest of finished batches in a folder: `batches/<id>` and `commits/<number>-<id>.json`.
 
-    Only committed batches count. `run` is safe to repeat with the same batch id.
+    Only committed batches count; their numbers give their order, whatever their names.
+    `run` is safe to repeat with the same batch id. One writer at a time.
     """
 
     def __init__(self, spark, base: str):
         self.spark, self.base = spark, base
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs, _ = hadoop(spark, base)
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
     def committed(self) -> list[str]:
-        """Identifiers of the committed batches, in order."""
+        """Identifiers of the committed batches, in the order of their commits."""
         folder = self._path(f"{self.base}/commits")
         if not self._fs.exists(folder):
             return []
-        return sorted(s.getPath().getName().removesuffix(".json") for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return [n.partition("-")[2].removesuffix(".json") for n in sorted(n for n in names if n.endswith(".json") and not n.startswith("."))]
 
-    def manifest(self, schema) -> DataFrame:
-        """Rows of all committed batches; an uncommitted folder is not read."""
-        ids = self.committed()
+    def manifest(self, schema, batches: Sequence[str] | None = None) -> DataFrame:
+        """Rows of all committed batches, or of some of them; an uncommitted folder is not read."""
+        ids = [i for i in self.committed() if batches is None or i in batches]
         return self.spark.read.schema(schema).parquet(*[f"{self.base}/batches/{i}" for i in ids]) if ids else self.spark.createDataFrame([], schema)
 
-    def pending(self, listing: DataFrame, key: Sequence[str], check: str = "checksum") -> DataFrame:
+    def pending(self, listed: DataFrame, key: Sequence[str], check: str = "checksum", order: Sequence[str] = ()) -> DataFrame:
         """Rows of the listing whose (key, checksum) is not the newest processed one.
 
-        Of repeated keys in a listing the greatest checksum is kept.
+        Of repeated keys in a listing the last by `order`, then by checksum, is kept.
         """
-        one = listing.groupBy(*key).agg(F.max(F.struct(check, *[c for c in listing.columns if c not in (*key, check)])).alias("_r")).select(*key, "_r.*")
-        cols = [*key, check, "batch"]
-        done = self.manifest(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema.fields if f.name in cols) + ", batch string")
-        latest = done.groupBy(*key).agg(F.max_by(check, "batch").alias(check))
-        on = [one[k].eqNullSafe(latest[k]) for k in (*key, check)]
+        first = dict.fromkeys([*order, check])
+        rest = [c for c in listed.columns if c not in first and c not in key]
+        one = listed.groupBy(*key).agg(F.max(F.struct(*first, *rest)).alias("_r")).select(*key, "_r.*")
+        cols = [*key, check]
+        done = self.manifest(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema.fields if f.name in cols) + ", batch_no bigint")
+        latest = done.groupBy(*key).agg(F.max_by(check, "batch_no").alias(check))
+        on = [one[k].eqNullSafe(latest[k]) for k in cols]
         return one.join(latest, on, "left_anti")
 
-    def run(self, batch: str, listing: DataFrame, key: Sequence[str], check: str = "checksum", fail: str = "") -> int:
+    def run(self, batch: str, listed: DataFrame, key: Sequence[str], check: str = "checksum", order: Sequence[str] = (), fail: str = "") -> int:
         """Process what is pending as batch `batch`; returns its rows, 0 if it was committed before.
 
+        The rows are written with the batch's id and number, over what a failed attempt
+        of the same batch left, and only then is the batch committed.
         fail: `write` or `commit` stops just after that step, for tests of recovery.
         """
-        if batch in self.committed():
+        done = self.committed()
+        if batch in done:
             return 0
-        out = f"{self.base}/batches/{batch}"
-        self.pending(listing, key, check).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(out)
+        out, number = f"{self.base}/batches/{batch}", len(done)
+        self.pending(listed, key, check, order).withColumn("batch", F.lit(batch)).withColumn("batch_no", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(out)
         rows = self.spark.read.parquet(out).count()
         if fail == "write":
             raise RuntimeError("stopped before the commit")
-        staged, final = self._path(f"{self.base}/commits/.{batch}.tmp"), self._path(f"{self.base}/commits/{batch}.json")
-        stream = self._fs.create(staged, True)
+        name = f"{number:012d}-{batch}.json"
+        staged, final = f"{self.base}/commits/.{name}.tmp", f"{self.base}/commits/{name}"
+        stream = self._fs.create(self._path(staged), True)
         stream.write(bytearray(json.dumps({"batch": batch, "rows": rows}).encode()))
         stream.close()
-        self._fs.rename(staged, final)
+        move(self.spark, staged, final)
+        if fail == "commit":
+            raise RuntimeError("stopped after the commit")
         return rows
 
 
+def process_changes(ledger: Ledger, batch: str, entries: DataFrame, snapshots: DataFrame, key: Sequence[str], compared: Sequence[str], at: str = "recorded_at", tie: str = "entry_id") -> DataFrame:
+    """Run batch `batch` over what is new or changed since the snapshots, and return its rows: key, at, tie, compared, checksum.
+
+    If the ledger is new, what the runs of the snapshots have seen becomes its first
+    batch, `seen`. The listing is every key whose newest entry no run has seen; it is
+    anti-joined with the ledger by key and checksum, written, and committed. A key whose
+    newest entry equals the one last seen is not processed again.
+    """
+    picked = entries.select(*dict.fromkeys([*key, "table_name", at, tie, *compared]))
+    old, _ = seen(picked, snapshots, at)
+    if not ledger.committed():
+        ledger.run("seen", listing(old, key, compared, at, tie), key)
+    _, fresh = seen(listing(picked, key, compared, at, tie), snapshots, at)
+    ledger.run(batch, fresh, key, order=[at, tie])
+    return ledger.manifest(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields), [batch])
+
+
 def file_listing(spark, folder: str) -> DataFrame:
-    """location, byte_count and checksum of each file below a local folder.
+    """location, byte_count and checksum (SHA-256) of each file below a folder, on any file system that Spark and Arrow both know.
 
-    The contents are hashed by the executors, a file of up to 2 GB at a time. Files of
-    no bytes hold no records and are not listed.
+    Contents are streamed by the executors, so a file may have any size. Files of no
+    bytes hold no records and are not listed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(local_path(folder))
-    return files.select(F.col("path").alias("location"), F.col("length").alias("byte_count"), F.sha2("content", 256).alias("checksum"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as files
+
+        for batch in batches:
+            sums = []
+            for where in batch.column(0).to_pylist():
+                local = where.removeprefix("file:") if where.startswith("file:") else where
+                fs, path = files.FileSystem.from_uri("file:///" + quote(local.lstrip("/")) if local.startswith("/") else local)
+                digest = hashlib.sha256()
+                with fs.open_input_stream(path) as stream:
+                    while chunk := stream.read(1 << 22):
+                        digest.update(chunk)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["location", "byte_count", "checksum"])
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select(F.col("path").alias("location"), F.col("length").alias("byte_count")).mapInArrow(hashed, "location string, byte_count bigint, checksum string")

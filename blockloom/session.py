@@ -84,6 +84,11 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """`written`, for small intermediate tables."""
+    return written(df)
+
+
 def hadoop(spark: SparkSession, url: str) -> tuple:
     """The Hadoop file system of a URL, and its path there."""
     sc = spark.sparkContext

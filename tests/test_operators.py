@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.operators.changes import Ledger, changed_since, checksum, file_listing, last_success, newest
+from blockloom.operators.changes import Ledger, checksum, file_listing, last_success, newest, process_changes
 from blockloom.operators.compaction import compact_folder, fingerprint, plan_merges
 from blockloom.operators.drift import json_type, profiles, read_record, schema_changes, to_text, unify, versions
 from blockloom.operators.hot_keys import eager_join, rollup_pairs, segment_pairs
@@ -66,21 +66,25 @@ def entries(spark, rows):
     return spark.createDataFrame([(i, t, lo, loc, b, r, inc, at(x), "clash", "clash") for i, t, lo, loc, b, r, inc, x in rows], ENTRY)
 
 
-def changed(spark, rows, runs):
+def changed(spark, folder, rows, runs):
     runs = spark.createDataFrame([(t, j, s, at(x)) for t, j, s, x in runs], "table_name string, job string, status string, snapshot_at timestamp_ntz")
-    return sorted((r.table_name, r.lower_bound) for r in changed_since(entries(spark, rows), last_success(runs), KEY, COMPARED).select(*KEY).collect())
+    ledger = Ledger(spark, f"file://{folder}/{len(rows)}-{len(list(folder.iterdir()))}")
+    found = process_changes(ledger, "b", entries(spark, rows), last_success(runs), KEY, COMPARED)
+    # a repeated run finds nothing to do, and the batch stays
+    assert ledger.run("b", entries(spark, rows), KEY) == 0 and ledger.committed() == ["seen", "b"]
+    return sorted((r.table_name, r.lower_bound) for r in found.select(*KEY).collect())
 
 
-def test_changes(spark):
+def test_changes(spark, tmp_path):
     rows = [
         (1, "a", 0, "x", 1, 1, False, 1), (2, "a", 0, "x", 1, 1, False, 9), (3, "a", 5, "x", 1, 1, False, 1), (4, "a", 5, "x", None, 1, False, 9), (5, "a", 10, "n", 1, 1, False, 9),
         (6, "a", 15, "x", None, None, None, 1), (7, "a", 15, "x", None, None, None, 9), (8, "a", 20, "old", 1, 1, False, 5), (9, "b", 0, "x", 1, 1, False, 1),
         (10, "a", 25, "x", 1, 1, False, 1), (11, "a", 25, "y", 1, 1, False, 8), (12, "a", 25, "x", 1, 1, False, 9), (13, "a", 30, "x", 1, 1, False, None), (5, "a", 10, "n", 1, 1, False, 9),
     ]
     runs = [("a", "index", "succeeded", 5), ("a", "index", "failed", 9), ("a", "verify", "succeeded", 9), ("a", "index", "succeeded", None)]
-    assert changed(spark, rows, runs) == [("a", 5), ("a", 10), ("b", 0)]
-    assert changed(spark, [], runs) == []
-    assert changed(spark, rows[:1], []) == [("a", 0)]
+    assert changed(spark, tmp_path, rows, runs) == [("a", 5), ("a", 10), ("b", 0)]
+    assert changed(spark, tmp_path, [], runs) == []
+    assert changed(spark, tmp_path, rows[:1], []) == [("a", 0)]
 
 
 def test_newest_ties(spark):
@@ -103,7 +107,16 @@ def test_ledger_survives_failure(spark, tmp_path):
     assert ledger.run("b2", listing([("a", 9)]), ["k"]) == 0
     assert ledger.run("b3", listing([("a", 1), ("b", 2), ("c", 4), (None, None)]), ["k"]) == 1
     assert ledger.run("b4", listing([]), ["k"]) == 0
-    got = sorted((r.batch, str(r.k), r.v) for r in ledger.manifest("k string, v bigint, batch string").collect())
+    # ten comes after nine, whatever the text says; a stop after the commit repeats nothing
+    for n in range(9, 12):
+        assert ledger.run(str(n), listing([("d", n)]), ["k"]) == 1
+    assert ledger.run("12", listing([("d", 11)]), ["k"]) == 0
+    with pytest.raises(RuntimeError):
+        ledger.run("13", listing([("d", 9)]), ["k"], fail="commit")
+    assert ledger.run("13", listing([("d", 9)]), ["k"]) == 0 and ledger.committed()[-1] == "13"
+    twice = listing([("e", 1), ("e", 2), ("e", 3)]).withColumn("at", F.expr("CASE v WHEN 2 THEN 9 ELSE v END"))
+    assert [r.v for r in ledger.pending(twice, ["k"], order=["at"]).collect()] == [2]
+    got = sorted((r.batch, str(r.k), r.v) for r in ledger.manifest("k string, v bigint, batch string").collect() if r.k != "d")
     assert got == [("b1", "None", None), ("b1", "a", 1), ("b1", "b", 2), ("b2", "b", 3), ("b2", "c", 4), ("b3", "b", 2)]
 
 
