@@ -8,13 +8,14 @@ the wanted size and writes each task as one file, then verifies the staged outpu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockloom.operators.changes import newest
-from blockloom.session import scratch_path
+from blockloom.session import hadoop, move, scratch_path
 
 
 #: What opening a file counts for when splits are packed, in bytes. The reader's usual
@@ -67,35 +68,62 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> tuple[int, int]:
     return int(row.n), int(row.x)
 
 
-def compact_folder(spark: SparkSession, source: str, target_bytes: int = 128 << 20, open_cost: int = OPEN_COST, out: str | None = None) -> DataFrame:
-    """Rewrite a parquet folder into fewer files and return the rewritten table.
+@dataclass(frozen=True)
+class Rewrite:
+    """What a compaction did: files and bytes before and after, rows and their checksum."""
+
+    files_before: int
+    files_after: int
+    bytes_before: int
+    bytes_after: int
+    rows: int
+    checksum: int
+
+
+def _data_files(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Number and bytes of the data files below a folder, or of one file."""
+    fs, path = hadoop(spark, folder)
+    n = size = 0
+    found = fs.listFiles(path, True)
+    while found.hasNext():
+        f = found.next()
+        # as the reader does, all but names that start with _ or .
+        if not f.getPath().getName().startswith(("_", ".")):
+            n, size = n + 1, size + int(f.getLen())
+    return n, size
+
+
+def compact_folder(spark: SparkSession, source: str, target_bytes: int = 128 << 20, open_cost: int = OPEN_COST, out: str | None = None) -> tuple[DataFrame, Rewrite]:
+    """Rewrite a parquet folder into fewer files; the rewritten table, and what was done.
 
     The engine's split packing does the work: with the maximum partition size at
     `target_bytes` and the file-open cost at `open_cost`, the reader combines small
-    files into tasks, and each task writes one file, so no row is shuffled. The
-    output is staged, its row count and checksum are compared with the source's,
-    and only then it is renamed to `out` (default: a path in the shared folder).
-    A mismatch removes the staged files and raises. An empty folder of files gives
-    an empty table.
+    files into tasks. The opening costs make them somewhat smaller than wanted, so they
+    are coalesced, without a shuffle, to as many tasks as the bytes need, each of which
+    writes one file. The output is staged, its row count and checksum are compared with
+    the source's, and only then it is renamed to `out` (default: a path in the shared
+    folder), which must not exist. A mismatch removes the staged files and raises. An
+    empty folder of files gives an empty table.
     """
     out = out or scratch_path(spark, "compacted")
+    fs, final = hadoop(spark, out)
+    if fs.exists(final):
+        raise FileExistsError(out)
     staged = f"{out}.staged"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, size = _data_files(spark, source)
     settings = {"spark.sql.files.maxPartitionBytes": str(target_bytes), "spark.sql.files.openCostInBytes": str(open_cost), "spark.sql.files.minPartitionNum": "1"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         rows = spark.read.parquet(source)
-        rows.write.mode("overwrite").parquet(staged)
+        rows.coalesce(max(1, -(-size // target_bytes))).write.mode("overwrite").parquet(staged)
+        was = fingerprint(rows, rows.columns)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    written = spark.read.schema(rows.schema).parquet(staged)
-    if fingerprint(rows, rows.columns) != fingerprint(written, rows.columns):
-        fs.delete(path(staged), True)
+    if was != fingerprint(spark.read.schema(rows.schema).parquet(staged), rows.columns):
+        fs.delete(hadoop(spark, staged)[1], True)
         raise RuntimeError(f"{source}: the rewritten files differ from it; nothing was replaced")
-    fs.rename(path(staged), path(out))
-    return spark.read.schema(rows.schema).parquet(out)
+    move(spark, staged, out)
+    return spark.read.schema(rows.schema).parquet(out), Rewrite(files, _data_files(spark, out)[0], size, _data_files(spark, out)[1], *was)

@@ -148,14 +148,18 @@ def test_compact(spark, tmp_path):
     src = f"{tmp_path}/src"
     df = spark.range(0, 1000).select("id", F.when(F.col("id") % 3 == 0, "x").alias("s"), F.create_map(F.lit("k"), "id").alias("m"), F.lit(None).cast("binary").alias("b"))
     df.repartition(40).write.parquet(src)
-    got = compact_folder(spark, src, out=f"file://{tmp_path}/out")
+    got, did = compact_folder(spark, src, out=f"file://{tmp_path}/out")
+    assert (did.files_before, did.files_after, did.rows, did.checksum) == (40, 1, *fingerprint(df, df.columns)) and did.bytes_after < did.bytes_before
+    with pytest.raises(FileExistsError):
+        compact_folder(spark, src, out=f"file://{tmp_path}/out")
     assert sorted(r.id for r in got.collect()) == list(range(1000))
     assert len(got.inputFiles()) == 1 and len(spark.read.parquet(src).inputFiles()) == 40
     assert fingerprint(got, got.columns) == fingerprint(df, df.columns)
-    many = compact_folder(spark, src, target_bytes=20_000, open_cost=1_000)
+    many, did = compact_folder(spark, src, target_bytes=20_000, open_cost=1_000)
+    assert did.files_after == len(many.inputFiles())
     assert 1 < len(many.inputFiles()) < 40 and many.count() == 1000
     spark.range(0).write.parquet(f"{tmp_path}/none")
-    assert compact_folder(spark, f"{tmp_path}/none").count() == 0
+    assert compact_folder(spark, f"{tmp_path}/none")[0].count() == 0
 
 
 # ---- hot keys
