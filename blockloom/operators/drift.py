@@ -2,8 +2,8 @@
 
 Each file's records give its profile: which names and JSON types its fields have.
 A profile's fingerprint is its version; neighbouring versions give the list of
-changes, and each version gives the explicit steps (rename, default, cast) that
-bring its records into the one consistent table.
+changes and the explicit steps (rename, default, cast) from one to the next. Chained to
+the last version and on to the consistent table, they are what a file's records go through.
 
 Records are parsed in Arrow batches in Python: the JVM's variant reader loses
 whether a number was written with a fraction, and drops whole integers above 38
@@ -16,10 +16,12 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blockloom.session import written
+
 PROFILE_LIMIT = 50_000
 """Distinct (file, name, type) counts a profiling task holds before it hands them on."""
 
@@ -72,7 +74,7 @@ def profiles(records: DataFrame, names: DataFrame) -> DataFrame:
     that are no objects, and null values count for nothing.
     """
     found = records.select(F.col("file_id").cast("bigint"), F.col("payload").cast("string")).filter("file_id is not null").mapInArrow(_profile_batches, "file_id bigint, name string, type string, n bigint")
-    known = names.groupBy(F.col("known_name").alias("name")).agg(F.min("field").alias("field"))
+    known = known_fields(names)
     return (
         found.groupBy("file_id", "name", "type").agg(F.sum("n").alias("n"))
         .join(known, "name", "left")
@@ -80,73 +82,178 @@ def profiles(records: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def _sets(profile: DataFrame) -> DataFrame:
-    """Per file and field: its sets of names, types and pairs, sorted."""
-    pair = F.struct("name", "type")
-    return profile.groupBy("file_id", "field").agg(
-        F.sort_array(F.collect_set("name")).alias("names"), F.sort_array(F.collect_set("type")).alias("types"), F.sort_array(F.collect_set(pair)).alias("pairs")
-    )
+def known_fields(names: DataFrame) -> DataFrame:
+    """name, field: which field a known name stands for; of several the least."""
+    return names.groupBy(F.col("known_name").alias("name")).agg(F.min("field").alias("field"))
+
+
+#: A file's schema: its sorted (field, name, type) triples.
+SHAPE = "array<struct<field:string,name:string,type:string>>"
+
 
+def fingerprint(shape: Column) -> Column:
+    """SHA-256 of a schema's triples, as JSON; one without fields has a fingerprint too."""
+    rows = F.transform(shape, lambda x: F.array(x["field"], x["name"], x["type"]))
+    return F.sha2(F.coalesce(F.to_json(rows), F.lit("[]")), 256)
 
-def versions(files: DataFrame, profile: DataFrame) -> DataFrame:
-    """file_id, feed, file_seq, prev_id, fingerprint, version, steps.
 
-    fingerprint: SHA-256 of the sorted (name, type) pairs; null and other orders of
+def by_field(shape: Sequence[dict]) -> dict[str, dict[str, set[str]]]:
+    """field -> name -> types of a schema."""
+    out: dict[str, dict[str, set[str]]] = {}
+    for x in shape:
+        out.setdefault(x["field"], {}).setdefault(x["name"], set()).add(x["type"])
+    return out
+
+
+def migration(now: Sequence[dict], after: Sequence[dict]) -> list[list]:
+    """Steps that bring records of one version to the next: ["rename", name, to], ["default", name, value], ["cast", name, type, to].
+
+    Names that the next version lacks become its own name of the field (the field
+    itself if it is one), fields it adds have null by default, and types it lacks are
+    cast to its own (text if it is one). A field that it no longer has is carried on.
+    """
+    old, new = by_field(now), by_field(after)
+    renames, defaults, casts = [], [], []
+    for field in sorted(old):
+        if field not in new:
+            continue
+        to = field if field in new[field] else min(new[field])
+        renames += [["rename", n, to] for n in sorted(old[field]) if n not in new[field]]
+        had, has = (set().union(*x[field].values()) for x in (old, new))
+        kind = "string" if "string" in has else min(has)
+        stay = sorted({n for n in old[field] if n in new[field]} | {to})
+        casts += [["cast", n, t, kind] for n in stay for t in sorted(had - has)]
+    for field in sorted(set(new) - set(old)):
+        defaults.append(["default", field if field in new[field] else min(new[field]), None])
+    return renames + defaults + casts
+
+
+def canonical(shape: Sequence[dict], fields: Sequence[str] = (), defaults: dict[str, str] | None = None) -> list[list]:
+    """Steps that bring records of a version to the consistent table: own field names, `defaults` (null) for the `fields` it lacks, text."""
+    have = by_field(shape)
+    renames = [["rename", n, f] for f in sorted(have) for n in sorted(have[f]) if n != f]
+    missing = [["default", f, (defaults or {}).get(f)] for f in fields if f not in have]
+    return renames + missing + [["cast", f, t, "string"] for f in sorted(have) for t in sorted(set().union(*have[f].values()) - {"string"})]
+
+
+def collapse(shape: Sequence[dict], steps: Sequence[list]) -> list[list]:
+    """Steps of a version that do at once what `steps` do one after the other: each name's last name, and each type's last type.
+
+    A cast between versions must lose nothing, so the last one alone gives the same
+    value. Of several defaults of a name the last counts that is not null.
+    """
+    renames, defaults, casts = {}, {}, {}
+    ends: dict[str, str] = {}
+    for s in steps:
+        if s[0] == "default":
+            defaults[s[1]] = s[2] if s[2] is not None else defaults.get(s[1])
+    for x in shape:
+        name, kind = x["name"], x["type"]
+        for s in steps:
+            if s[0] == "rename" and s[1] == name:
+                name = s[2]
+            elif s[0] == "cast" and s[1] == name and s[2] == kind:
+                kind = s[3]
+        ends[x["name"]] = name
+        if x["name"] != name:
+            renames[x["name"]] = name
+        if kind != x["type"]:
+            casts[name, x["type"]] = kind
+    had = set(ends.values())
+    for s in steps:  # a default of a name that is renamed later is one of its last name
+        if s[0] == "rename" and s[1] in defaults and s[1] not in had:
+            defaults.setdefault(s[2], defaults.pop(s[1]))
+    return [["rename", *x] for x in sorted(renames.items())] + [["default", *x] for x in sorted(defaults.items()) if x[0] not in had] + [["cast", *k, v] for k, v in sorted(casts.items())]
+
+
+def versions(files: DataFrame, profile: DataFrame, fields: Sequence[str] = (), defaults: dict[str, str] | None = None) -> DataFrame:
+    """file_id, feed, file_seq, prev_id, shape, prev_shape, fingerprint, prev_fingerprint, version, migration, steps.
+
+    fingerprint: of the sorted (field, name, type) triples; null and other orders of
     records do not change it. version counts the changes of fingerprint along the
-    feed, from 1. steps: a JSON list, in the order of application, of ["rename",
-    name, field], ["cast", field, type, "string"]. Repeated rows of a file count
-    once (the last by written_at); a null feed is a feed.
+    feed, from 1. migration: the explicit steps to the feed's next version, as a JSON
+    list. steps: all migrations from here to the feed's last version and on to the
+    consistent table, chained and collapsed. fields: those the consistent table has;
+    one that a version lacks gets a default step. Repeated rows of a file count once
+    (the last by written_at); a null feed is a feed. A feed's files are chained in one
+    task, which holds the steps of one file at a time.
     """
-    per_file = profile.groupBy("file_id").agg(F.sort_array(F.collect_set(F.struct("name", "type", "field"))).alias("shape"))
+    per_file = profile.groupBy("file_id").agg(F.sort_array(F.collect_set(F.struct("field", "name", "type"))).alias("shape"))
     one = files.groupBy("file_id").agg(F.max(F.struct("written_at", "feed", "file_seq")).alias("f")).select("file_id", "f.feed", "f.file_seq")
-    shaped = one.join(per_file, "file_id", "left")
+    shaped = one.join(per_file, "file_id", "left").select("file_id", "feed", "file_seq", F.coalesce("shape", F.array().cast(SHAPE)).alias("shape"))
     feed = W.partitionBy("feed").orderBy("file_seq", "file_id")
-    renames = F.transform(F.array_distinct(F.transform(F.filter("shape", lambda x: x["name"] != x["field"]), lambda x: F.struct(x["name"].alias("name"), x["field"].alias("field")))), lambda x: F.array(F.lit("rename"), x["name"], x["field"]))
-    casts = F.transform(F.array_distinct(F.transform(F.filter("shape", lambda x: x["type"] != "string"), lambda x: F.struct(x["field"].alias("field"), x["type"].alias("type")))), lambda x: F.array(F.lit("cast"), x["field"], x["type"], F.lit("string")))
-    steps = F.to_json(F.coalesce(F.concat(renames, casts), F.array().cast("array<array<string>>")))
-    marked = shaped.select("file_id", "feed", "file_seq", F.sha2(F.coalesce(F.to_json("shape"), F.lit("[]")), 256).alias("fingerprint"), steps.alias("steps"))
-    return (
-        marked.withColumn("prev_id", F.lag("file_id").over(feed))
-        .withColumn("_new", F.coalesce((F.lag("fingerprint").over(feed) != F.col("fingerprint")).cast("int"), F.lit(1)))
-        .withColumn("version", F.sum("_new").over(feed))
-        .drop("_new")
+    marked = (
+        shaped.withColumn("fingerprint", fingerprint(F.col("shape")))
+        .withColumn("prev_id", F.lag("file_id").over(feed)).withColumn("prev_shape", F.lag("shape").over(feed)).withColumn("prev_fingerprint", F.lag("fingerprint").over(feed))
+        .withColumn("version", F.sum(F.coalesce((F.col("prev_fingerprint") != F.col("fingerprint")).cast("bigint"), F.lit(1))).over(feed))
     )
+    fields, own_defaults = list(fields), dict(defaults or {})
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From each feed's last file back: a version's steps are its migration, then those of the next version."""
+        last: tuple | None = None
+        for batch in batches:
+            to_next, whole = [], []
+            rows = zip(*[batch.column(i).to_pylist() for i in (batch.schema.get_field_index("feed"), batch.schema.get_field_index("fingerprint"), batch.schema.get_field_index("shape"))], strict=True)
+            for own, mark, shape in rows:
+                if last is None or last[0] != own:
+                    steps, after = canonical(shape, fields, own_defaults), []
+                elif last[1] == mark:
+                    steps, after = last[3], last[4]
+                else:
+                    after = migration(shape, last[2])
+                    steps = after + last[3] + canonical(shape, fields, own_defaults)
+                if last is None or last[:2] != (own, mark):
+                    steps = collapse(shape, steps)
+                last = (own, mark, shape, steps, after)
+                to_next.append(json.dumps(after, separators=(",", ":")))
+                whole.append(json.dumps(steps, separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to_next, pa.string()), pa.array(whole, pa.string())], names=[*batch.schema.names, "migration", "steps"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
+    return marked.repartition("feed").sortWithinPartitions("feed", F.desc("file_seq"), F.desc("file_id")).mapInArrow(chain, f"{kinds}, migration string, steps string")
+
+
+def _differences(both: DataFrame) -> DataFrame:
+    """file_id, field, and its names, types and pairs in the shapes `a` and `b`, for each field of either."""
+    each = both.select("*", F.explode(F.array_distinct(F.concat(*[F.transform(c, lambda x: x["field"]) for c in ("a", "b")]))).alias("field"))
+
+    def part(shape: str, what) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(F.filter(shape, lambda x: x["field"] == F.col("field")), what)))
+
+    cols = [part(c, what).alias(f"{c}_{n}") for c in ("a", "b") for n, what in (("names", lambda x: x["name"]), ("types", lambda x: x["type"]), ("pairs", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"))))]
+    return each.select("file_id", "field", *cols)
 
 
 def schema_changes(files: DataFrame, profile: DataFrame, names: DataFrame) -> DataFrame:
     """file_id, field, change_kind, before, after: every change of every file.
 
-    Against the previous file of the feed (by file_seq, then file_id): added,
-    removed, renamed (other set of names), type_changed (other set of types). And,
-    for a file with a readable declared_schema, declared_differs if the declared
-    (name, type) pairs of the field are not those found. A file without readable
-    records has no fields. before and after show the pairs as JSON.
+    A file whose fingerprint is that of the file before it (by file_seq, then file_id) has
+    none. Between two versions, per field: added, removed, renamed (other set of
+    names), type_changed (other set of types). And, for a file with a readable
+    declared_schema whose fingerprint is another than that of its records, per field
+    declared_differs if the declared (name, type) pairs are not those found. A file
+    without readable records has no fields. before and after show the pairs as JSON.
     """
-    vers = versions(files, profile).select("file_id", "prev_id")
-    sets = _sets(profile)
-    now = vers.filter("prev_id is not null").join(sets, "file_id").select("file_id", "field", "names", "types", "pairs")
-    before = sets.withColumnRenamed("file_id", "prev_id").join(vers, "prev_id").select("file_id", "field", F.col("names").alias("b_names"), F.col("types").alias("b_types"), F.col("pairs").alias("b_pairs"))
-    both = now.join(before, ["file_id", "field"], "full")
+    vers = written(versions(files, profile), "versions")
+    moved = vers.filter("prev_id is not null and fingerprint <> prev_fingerprint").select("file_id", F.col("prev_shape").alias("a"), F.col("shape").alias("b"))
+    none = F.size("a_names") == 0, F.size("b_names") == 0
     kinds = F.array(
-        F.when(F.col("b_names").isNull(), "added"), F.when(F.col("names").isNull(), "removed"), F.when(F.col("names") != F.col("b_names"), "renamed"), F.when(F.col("types") != F.col("b_types"), "type_changed")
+        F.when(none[0], "added"), F.when(none[1], "removed"), F.when(~none[0] & ~none[1] & (F.col("a_names") != F.col("b_names")), "renamed"), F.when(~none[0] & ~none[1] & (F.col("a_types") != F.col("b_types")), "type_changed")
     )
-    drift = both.select("file_id", "field", F.explode(F.array_compact(kinds)).alias("change_kind"), F.to_json("b_pairs").alias("before"), F.to_json("pairs").alias("after"))
 
-    known = names.groupBy(F.col("known_name").alias("name")).agg(F.min("field").alias("known_field"))
+    def shown(c: str) -> Column:
+        return F.when(F.size(c) > 0, F.to_json(c))
+
+    drift = _differences(moved).select("file_id", "field", F.explode(F.array_compact(kinds)).alias("change_kind"), shown("a_pairs").alias("before"), shown("b_pairs").alias("after"))
+
+    # repeated rows of a file agree or count as one set
     told = files.select("file_id", F.from_json("declared_schema", "struct<fields:array<struct<name:string,type:string>>>").alias("d")).filter("d.fields is not null").select("file_id", "d.fields")
-    # two files of one feed may declare a text each; repeated rows of a file agree or count as one set
-    declared = (
-        told.select("file_id", F.inline("fields")).filter("name is not null").join(known, "name", "left")
-        .groupBy("file_id", F.coalesce("known_field", "name").alias("field"))
-        .agg(F.sort_array(F.collect_set(F.struct("name", "type"))).alias("d_pairs"))
-    )
-    found = sets.join(told.select("file_id").distinct(), "file_id").select("file_id", "field", "pairs")
-    differs = (
-        declared.join(found, ["file_id", "field"], "full")
-        .filter(~F.col("d_pairs").eqNullSafe(F.col("pairs")))
-        .select("file_id", "field", F.lit("declared_differs").alias("change_kind"), F.to_json("d_pairs").alias("before"), F.to_json("pairs").alias("after"))
-    )
-    return drift.unionByName(differs)
+    known = known_fields(names).withColumnRenamed("field", "known_field")
+    triple = F.struct(F.coalesce("known_field", "name").alias("field"), "name", F.coalesce("type", F.lit("")).alias("type"))
+    declared = told.select("file_id", F.explode_outer("fields").alias("x")).select("file_id", "x.*").join(known, "name", "left").groupBy("file_id").agg(F.sort_array(F.collect_set(F.when(F.col("name").isNotNull(), triple))).alias("a"))
+    differs = _differences(declared.join(vers.select("file_id", F.col("shape").alias("b")), "file_id").filter(fingerprint(F.col("a")) != fingerprint(F.col("b")))).filter("a_pairs <> b_pairs")
+    return drift.unionByName(differs.select("file_id", "field", F.lit("declared_differs").alias("change_kind"), shown("a_pairs").alias("before"), shown("b_pairs").alias("after")))
 
 
 def to_text(value, kind: str) -> tuple[str | None, bool]:
@@ -169,18 +276,20 @@ def unify(records: DataFrame, vers: DataFrame, fields: Sequence[str]) -> DataFra
     """All records as one table: record_id, file_id, line_no, version, the `fields`
     as text, rest (fields not listed, as a map) and issues.
 
-    Each record is routed through its file's steps in order: renames, then the
-    default (null) for absent fields, then casts. issues lists what the steps could
-    not settle: `unreadable`, `cast:<field>` (kept as JSON text) and `clash:<field>`
-    (two names of a field in one record with different values; the field's own name
-    wins, else the first). Records of files that are not listed take no steps
-    and have a null version. No record is dropped or repeated.
+    Each record is routed through its file's steps: renames, then defaults for absent
+    fields, then casts of the types that the steps name. Other fields are null. issues
+    lists what the steps could not settle: `unreadable`, `cast:<field>` (kept as JSON
+    text: no step casts the type, or the value does not fit) and `clash:<field>` (two
+    names of a field in one record with different values; the field's own name wins,
+    else the first). A field that is null in a record, but not absent from its file, is
+    null. Records of files that are not listed have no steps and a null version: their
+    names stand for themselves and every type is cast. No record is dropped or repeated.
     """
     fields = list(fields)
     out = ", ".join(["record_id bigint", "file_id bigint", "line_no bigint", "version bigint", *[f"`{f}` string" for f in fields], "rest map<string,string>", "issues array<string>"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[str | None, dict[str, str]] = {}
+        plans: dict[str | None, tuple] = {}
         kept = set(fields)
         for batch in batches:
             rows: dict[str, list] = {f: [] for f in fields}
@@ -189,8 +298,9 @@ def unify(records: DataFrame, vers: DataFrame, fields: Sequence[str]) -> DataFra
                 if steps not in plans:
                     if len(plans) > 1000:
                         plans.clear()
-                    plans[steps] = {s[1]: s[2] for s in json.loads(steps or "[]") if s[0] == "rename"}
-                renames = plans[steps]
+                    todo = json.loads(steps or "[]")
+                    plans[steps] = ({s[1]: s[2] for s in todo if s[0] == "rename"}, {s[1]: s[2] for s in todo if s[0] == "default" and s[2] is not None}, {(s[1], s[2]) for s in todo if s[0] == "cast" and s[3] == "string"})
+                renames, missing, casts = plans[steps]
                 record = read_record(payload)
                 bad = [] if record is not None else ["unreadable"]
                 values: dict[str, str | None] = {}
@@ -200,7 +310,10 @@ def unify(records: DataFrame, vers: DataFrame, fields: Sequence[str]) -> DataFra
                     kind = json_type(value)
                     if kind is None:
                         continue
-                    text, fits = to_text(value, kind)
+                    if kind == "string" or steps is None or (field, kind) in casts:
+                        text, fits = to_text(value, kind)
+                    else:
+                        text, fits = json.dumps(value, separators=(",", ":")), False
                     if field in values and values[field] != text:
                         bad.append(f"clash:{field}")
                     if field not in values or (name == field and field not in own):
@@ -209,6 +322,9 @@ def unify(records: DataFrame, vers: DataFrame, fields: Sequence[str]) -> DataFra
                         own.add(field)
                     if not fits:
                         bad.append(f"cast:{field}")
+                if record is not None:
+                    for f, value in missing.items():
+                        values.setdefault(f, value)
                 for f in fields:
                     rows[f].append(values.get(f))
                 rest.append([(k, v) for k, v in values.items() if k not in kept])

@@ -1,12 +1,15 @@
 import datetime
+import json
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from blockloom.operators.changes import Ledger, checksum, file_listing, last_success, newest, process_changes
 from blockloom.operators.compaction import compact_folder, fingerprint, plan_merges
-from blockloom.operators.drift import json_type, profiles, read_record, schema_changes, to_text, unify, versions
+from blockloom.operators.drift import canonical, collapse, json_type, migration, profiles, read_record, schema_changes, to_text, unify, versions
 from blockloom.operators.hot_keys import eager_join, rollup_pairs, segment_pairs
 from blockloom.operators.orphans import Records, Target, direct_orphans, find_orphans, orphan_report
 
@@ -248,3 +251,47 @@ def test_drift_clash_and_empty(spark):
     assert [x.type for x in rows] == ["0x1", "0x1"] and [x.issues for x in rows] == [["clash:type"], []]
     f, r, n, p = drift(spark, [], [])
     assert schema_changes(f, p, n).count() == versions(f, p).count() == unify(r, versions(f, p), ["type"]).count() == 0
+
+
+def shapes(*versions_):
+    return [[{"field": f, "name": n, "type": t} for f, n, t in v] for v in versions_]
+
+
+def test_migrations():
+    a, b, c = shapes(
+        [("gas", "gas", "bigint"), ("type", "txType", "string"), ("old", "old", "double")],
+        [("gas", "gasLimit", "string"), ("type", "type", "string"), ("fee", "fee", "string")],
+        [("gas", "gas", "bigint"), ("type", "kind", "bigint"), ("fee", "fee", "string")],
+    )
+    assert migration(a, b) == [["rename", "gas", "gasLimit"], ["rename", "txType", "type"], ["default", "fee", None], ["cast", "gasLimit", "bigint", "string"]]
+    assert migration(b, b) == [] and migration([], []) == []
+    whole = migration(a, b) + migration(b, c) + canonical(c, ["gas", "type", "fee", "to"], {"to": "0x"}) + canonical(a, ["gas", "type", "fee", "to"], {"to": "0x"})
+    assert collapse(a, whole) == [["rename", "txType", "type"], ["default", "fee", None], ["default", "to", "0x"], ["cast", "gas", "bigint", "string"], ["cast", "old", "double", "string"]]
+
+
+@given(st.lists(st.lists(st.tuples(st.sampled_from("fgh"), st.sampled_from(["", "_x", "_y"]), st.sampled_from(["string", "bigint", "double"])), max_size=5), min_size=1, max_size=5))
+def test_chained_steps_end_where_direct_ones_do(versions_):
+    all_ = shapes(*[sorted({(f, f + n, t) for f, n, t in v}) for v in versions_])
+    steps = canonical(all_[-1])
+    for now, after in zip(all_[-2::-1], all_[:0:-1], strict=True):
+        steps = collapse(now, migration(now, after) + collapse(after, steps) + canonical(now))
+    assert {tuple(s) for s in steps if s[0] == "rename"} == {tuple(s) for s in canonical(all_[0]) if s[0] == "rename"}
+    # every value ends as text: each name's types are cast, under its last name, all the way
+    assert {tuple(s) for s in steps if s[0] == "cast"} == {("cast", x["field"], x["type"], "string") for x in all_[0] if x["type"] != "string"}
+
+
+def test_unify_carries_out_the_steps(spark):
+    f, r, n, p = drift(spark, [(1, "a", 1, None), (2, "a", 2, None)], [(1, '{"txType": 5, "gas": "0x1"}'), (1, '{"gas": null}'), (2, '{"type": "0x7", "gas": 9}')])
+    vers = versions(f, p, ["type", "gas", "to"], {"to": "0xdef"})
+    steps = {x.file_id: (json.loads(x.migration), json.loads(x.steps)) for x in vers.collect()}
+    assert steps[1][0] == [["rename", "txType", "type"], ["cast", "gas", "string", "bigint"], ["cast", "type", "bigint", "string"]] and steps[2][0] == []
+    assert steps[1][1] == [["rename", "txType", "type"], ["default", "to", "0xdef"], ["cast", "type", "bigint", "string"]]
+
+    def table(v):
+        return [tuple(x)[4:7] + (x.issues,) for x in sorted(unify(r, v, ["type", "gas", "to"]).collect(), key=lambda x: x.record_id)]
+
+    assert table(vers) == [("0x5", "0x1", "0xdef", []), (None, None, "0xdef", []), ("0x7", "0x9", "0xdef", [])]
+    # without a step nothing is renamed, filled in or cast
+    bare = vers.withColumn("steps", F.lit("[]"))
+    assert table(bare) == [(None, "0x1", None, ["cast:txType"]), (None, None, None, []), ("0x7", "9", None, ["cast:gas"])]
+    assert table(vers.withColumn("steps", F.lit('[["rename","txType","type"]]')))[0] == ("5", "0x1", None, ["cast:type"])
