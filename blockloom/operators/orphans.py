@@ -111,30 +111,31 @@ def find_orphans(spark: SparkSession, records: Sequence[Records], targets: Seque
     result = known
     parents = {r.own[0]: r for r in records if r.own}
     edges = [(child, ref, parents[space]) for child in records for ref, (space, _) in child.refs.items() if space in parents]
-    fallen = known.filter(F.col("status").isin(*broken)).select("child_table", "child_id").distinct()
-    everyone = fallen
+    newly = known.filter(F.col("status").isin(*broken)).select("child_table", "child_id").distinct()
+    everyone = newly
     for depth in count(1):
         found = []
         for child, ref, parent in edges:
-            ids = everyone.filter(F.col("child_table") == parent.name).select(F.col("child_id").alias("_id")).distinct()
-            rows = parent.df.select(parent.id.alias("_id"), parent.own[1].alias("_key")).filter("_key is not null").distinct()
-            keys = (
-                rows.join(ids.withColumn("_down", F.lit(1)), "_id", "left")
-                .groupBy("_key")
-                .agg(F.count("_down").alias("_n"), F.count(F.lit(1)).alias("_all"))
-                .filter("_n = _all")
-                .select("_key")
-            )
+            def own(ids: DataFrame, parent: Records = parent) -> DataFrame:
+                return ids.filter(F.col("child_table") == parent.name).select(F.col("child_id").alias("_id"))
+
+            rows = parent.df.select(parent.id.alias("_id"), parent.own[1].alias("_key")).filter("_key is not null")
+            # only the keys of rows that fell in the last round can have lost their last sound row
+            touched = rows.join(own(newly), "_id", "left_semi").select("_key").distinct()
+            sound = rows.join(touched, "_key", "left_semi").join(own(everyone), "_id", "left_anti").select("_key")
+            keys = touched.join(sound, "_key", "left_anti")
             kids = child.df.select(child.id.alias("child_id"), child.refs[ref][1].alias("_key")).join(keys, "_key", "left_semi")
             found.append(kids.select(F.lit(child.name).alias("child_table"), "child_id", F.lit(ref).alias("ref")).distinct())
         if not found:
             break
         fresh = reduce(DataFrame.unionByName, found).join(result.select("child_table", "child_id", "ref"), ["child_table", "child_id", "ref"], "left_anti")
         fresh = written(fresh.select("*", F.lit("inherited").alias("status"), F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")), "orphans")
+        # records that refer to a parent are the only ones that pull others down
+        parents_down = fresh.filter(F.col("child_table").isin(sorted({p.name for _, _, p in edges}))).select("child_table", "child_id")
         # written, as everyone would stand in its own plan twice, and the plan double with each round
-        newly = written(fresh.select("child_table", "child_id").join(everyone, ["child_table", "child_id"], "left_anti").distinct(), "fallen")
+        newly = written(parents_down.join(everyone, ["child_table", "child_id"], "left_anti").distinct(), "fallen")
         result = result.unionByName(fresh)
-        if not any(r.own for r in records if r.name in {c.name for c, _, _ in edges}) or newly.isEmpty():
+        if newly.isEmpty():
             break
         everyone = everyone.unionByName(newly)
         if depth % 20 == 0:  # else the plans grow with each round
