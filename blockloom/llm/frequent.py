@@ -76,7 +76,8 @@ def candidates(values: DataFrame, capacity: int = 1000, width_bits: int = 16, de
     no candidate). The true count lies in [lower, upper]; lower is what was counted
     since the value entered its heap, upper the sketch's estimate. bound is what
     upper may exceed the truth by, but for a chance of exp(-depth). Per side, one
-    further row with a null value has all occurrences of the side as lower and upper.
+    further row with a null value has all occurrences of the side as lower and upper, and
+    as bound the greatest estimate of any value that a full heap gave up (0 if none did).
     Memory of a task: the sketches and heaps of each side, whatever the input. A
     value holding a third of all rows is combined in the reading tasks first, so it
     reaches its partition as one row per task. Every row counts, repeated ones too; an
@@ -136,7 +137,7 @@ def candidates(values: DataFrame, capacity: int = 1000, width_bits: int = 16, de
             heap.trim()
             bound = math.ceil(math.e * total / (1 << width_bits))
             out += [(side, value, lower, upper, bound) for value, (upper, lower) in heap.held.items()]
-            out.append((side, None, total, total, 0))
+            out.append((side, None, total, total, heap.floor))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["side", "value", "lower", "upper", "bound"])
 
@@ -152,8 +153,14 @@ def heavy(found: DataFrame, values: DataFrame, threshold: float) -> DataFrame:
 
     A candidate whose interval lies on one side of the threshold is decided; those
     in between, if any, are counted exactly in one more pass over `values`, joined
-    before anything is shuffled. There are at most as many as the heaps hold.
+    before anything is shuffled. There are at most as many as the heaps hold. Where a
+    full heap gave up a value whose estimate reached the threshold, the threshold is too
+    low for its capacity; then every value is counted exactly, and none is lost.
     """
+    floor = found.filter("value is null").agg(F.max("bound")).first()[0]
+    if floor is not None and floor >= threshold:
+        whole = values.filter("value is not null").groupBy("side", "value").agg(F.count(F.lit(1)).alias("n"))
+        return whole.filter(F.col("n") >= threshold).select("side", "value")
     sure = found.filter((F.col("lower") >= threshold) & F.col("value").isNotNull()).select("side", "value")
     open_ = found.filter((F.col("lower") < threshold) & (F.col("upper") >= threshold) & F.col("value").isNotNull()).select("side", "value")
     if open_.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import hexes as H
 from blockloom.llm.frequent import candidates, heavy
-from blockloom.session import cut, table
+from blockloom.session import table, written
 
 
 def _values(spark: SparkSession, base: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _values(spark: SparkSession, base: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     values = _values(spark, base)
-    found = cut(candidates(values))
+    found = written(candidates(values), "candidates")
     total = found.filter("value is null").agg(F.max("lower")).first()[0] or 0
     return heavy(found, values, 0.01 * total).select("side", F.col("value").alias("address"))
 
@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 def p2_top(spark: SparkSession, base: str) -> DataFrame:
     """The 100 heaviest addresses of each side with their bounds; ties by address."""
     best = W.partitionBy("side").orderBy(F.desc("upper"), "value")
-    # the heaps are bounded, so one task per side ranks at most tasks x capacity rows
+    # each task ranks its own heaps first (a group limit), so one task per side ranks at most tasks x 100 rows
     return candidates(_values(spark, base)).filter("value is not null").withColumn("place", F.row_number().over(best)).filter("place <= 100").withColumnRenamed("value", "address")
 
 

@@ -60,6 +60,30 @@ def test_distinct(spark, monkeypatch, bits):
     assert {(r.g, r.h, r.side): r.n_distinct for r in D.counts(again, ["g", "h"]).collect()} == {k: v for k, v in brute(rows).items() if "all" not in k}
 
 
+def test_widths(spark):
+    """Runs of any widths merge exactly, and a run's length follows from its own set."""
+    def runs(ids, bits=None, per_run=64):
+        df = spark.createDataFrame([("x" if i % 10 else "small", i) for i in ids], "g string, a bigint").repartition(3)
+        return D.build_runs(df, ["g"], {"a": F.col("a")}, bits, per_run=per_run)
+
+    same = D.merge_runs(runs(range(1000), 3).unionByName(runs(range(1000), 4)).unionByName(runs(range(500, 1500), 0)), ["g"], per_run=1 << 20)
+    assert {(r.g, r.n_distinct) for r in D.counts(same, ["g"]).collect()} == {("x", 1350), ("small", 150)} and {r.bits for r in same.collect()} == {4}
+    wider = D.merge_runs(runs(range(1000), 0), ["g"], per_run=64)
+    assert {(r.g, r.bits) for r in wider.collect()} == {("x", 4), ("small", 1)}
+    for n in (2000, 20_000):
+        by = {g: [r.n for r in runs(range(n)).collect() if r.g == g] for g in ("x", "small")}
+        assert sum(by["x"]) == n * 9 // 10 and sum(by["small"]) == n // 10
+        assert all(32 <= sum(v) / len(v) <= 64 for v in by.values())
+    tiny = runs(range(40)).collect()
+    assert sorted((r.g, r.bits, r.n) for r in tiny) == [("small", 0, 4), ("x", 0, 36)]
+
+
+def test_hot_value_leaves_a_task_once(spark):
+    df = spark.range(10_000).select(F.lit("x").alias("g"), F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id")).alias("a")).repartition(4)
+    runs = D.build_runs(df, ["g"], {"a": F.col("a")})
+    assert [r.n for r in runs.collect()] == [3335]
+
+
 def test_distinct_empty(spark):
     df = spark.createDataFrame([], "g string, a string")
     assert D.merge_runs(D.build_runs(df, ["g"], {"a": F.col("a")}, 2), ["g"], 2).count() == 0
@@ -112,5 +136,13 @@ def test_candidates(spark, monkeypatch):
             assert {tuple(r) for r in Q.heavy(found.cache(), df, threshold).collect()} == want
 
 
+@pytest.mark.parametrize("capacity", [50, 1000, 30_000])
+def test_heavy_below_the_heaps(spark, capacity):
+    """Far more values than the heaps hold reach the threshold: none is lost."""
+    df = spark.range(60_000).select(F.lit("s").alias("side"), (F.col("id") % 20_000).cast("string").alias("value"))
+    found = Q.candidates(df, capacity)
+    assert Q.heavy(found, df, 3).count() == 20_000 and Q.heavy(found, df, 4).count() == 0
+
+
 def test_candidates_empty(spark):
     assert Q.candidates(spark.createDataFrame([], "side string, value string")).count() == 0
