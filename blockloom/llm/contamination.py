@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.mail import view, words
-from blockloom.session import cut, written
+from blockloom.session import written
 
-#: Item shingles that are sent to every task at most (8 bytes each); beyond it they are joined by shuffle.
-BROADCAST_SHINGLES = 1 << 21
+#: Bits of the filter over item shingles that is sent to every task at most: 64 MB.
+MOST_BITS = 1 << 29
+#: Tasks over which the documents of one shingle are spread.
+SALTS = 8
 #: Weight of a word by its place in the shingle; odd, so that no place is lost.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -69,54 +71,124 @@ def _trim(known: dict) -> None:
         known.clear()
 
 
+class Bloom:
+    """Which shingles can be one of the items': a bit set that never misses one, of at most `MOST_BITS`."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words, self.size = bits, np.uint64(len(bits) * 64 - 1)
+
+    @staticmethod
+    def places(keys: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+        k = keys.view(np.uint64)
+        return [((k ^ (k >> np.uint64(32))) * m >> np.uint64(7)) & mask for m in (np.uint64(_STEP), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))]
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.holds(np.array([key], np.int64))[0])
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in self.places(keys, self.size):
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return out
+
+
+def bloom_of(keys: DataFrame, most_bits: int = MOST_BITS) -> Bloom:
+    """The filter of a column of 64-bit keys, of 16 bits a key as far as `most_bits` allow; made by the tasks, joined in a few more."""
+    n = max(1, keys.count())
+    size = 1 << min(most_bits.bit_length() - 1, max(10, (16 * n - 1).bit_length()))
+    piece = max(1, size // 64 // 256)  # words of the filter per row
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_ = np.zeros(size // 64, np.uint64)
+        for batch in batches:
+            for at in Bloom.places(batch.column(0).to_numpy(zero_copy_only=False), np.uint64(size - 1)):
+                np.bitwise_or.at(words_, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        for i in range(0, len(words_), piece):
+            part = words_[i : i + piece]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // piece], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["i", "part"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                now = np.frombuffer(part, np.uint64)
+                held[i] = held[i] | now if i in held else now
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["i", "part"])
+
+    marked = keys.select("key").coalesce(32).mapInArrow(mark, "i int, part binary").repartition("i").mapInArrow(join, "i int, part binary")
+    whole = np.zeros(size // 64, np.uint64)
+    for r in marked.toLocalIterator():
+        part = np.frombuffer(bytes(r.part), np.uint64)
+        whole[r.i * piece : r.i * piece + len(part)] |= part
+    return Bloom(whole)
+
+
 def _stretches(docs: DataFrame, wanted, window: int, size: int, read: Callable[[str | None], list[str]]) -> DataFrame:
-    """doc_id, stretch, words, hits(pos, key): the stretches of each document around item shingles.
+    """doc_id, stretch, words, hits(pos, key): the stretches of each document around shingles that pass the filter.
 
-    A stretch has every word that a window over one of its hits can take in. wanted:
-    broadcast sorted hashes, or None to keep every shingle.
+    A stretch has every word that a window over one of its hits can take in. Rows with
+    stretch -1 tell, in `hits`, in how many documents (pos) a shingle (key) occurs, as
+    far as one task has read: of all documents, whether they have a stretch or not.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_wanted = wanted.value if wanted is not None else None
+        sieve: Bloom = wanted.value
         known: dict[str, int] = {}
+        counted: list[np.ndarray] = []
+        total = 0
+
+        def tallied() -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            keys, n = np.unique(np.concatenate(counted), return_counts=True) if counted else (np.zeros(0, np.int64), [])
+            counted.clear()
+            total = 0
+            for i in range(0, len(keys), 4096):
+                hits = [{"pos": int(c), "key": int(k)} for k, c in zip(keys[i : i + 4096], n[i : i + 4096], strict=True)]
+                yield rows([None], [-1], [[]], [hits])
+
+        def rows(ids, marks, texts, hits) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(texts, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())])))],
+                names=["doc_id", "stretch", "words", "hits"],
+            )
+
         for batch in batches:
             ids, marks, texts, hits = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mark = 0
+                mark, found = 0, []
                 for part in read(text):
                     tokens = words(part)
-                    if len(tokens) < window:
-                        continue
                     keys = shingles(tokens, size, known)
-                    if keys_wanted is None:
-                        at = np.arange(len(keys))
-                    else:
-                        near = np.searchsorted(keys_wanted, keys)
-                        near[near == len(keys_wanted)] = 0
-                        at = np.flatnonzero(keys_wanted[near] == keys) if len(keys_wanted) else np.zeros(0, np.int64)
+                    at = np.flatnonzero(sieve.holds(keys))
                     if not len(at):
                         continue
+                    found.append(keys[at])
                     reach = window - size
                     for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-                        first, last = max(0, int(group[0]) - reach), min(len(tokens), int(group[-1]) + window)
                         # of fewer shingles than a window has, no window can be made
                         if len(group) <= reach:
                             continue
+                        first, last = max(0, int(group[0]) - reach), min(len(tokens), int(group[-1]) + window)
                         ids.append(doc)
                         marks.append(mark)
                         texts.append(tokens[first:last])
                         hits.append([{"pos": int(p) - first, "key": int(keys[p])} for p in group])
                         mark += 1
+                if found:
+                    counted.append(np.unique(np.concatenate(found)))
+                    total += len(counted[-1])
                 _trim(known)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(texts, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())])))],
-                names=["doc_id", "stretch", "words", "hits"],
-            )
+            yield rows(ids, marks, texts, hits)
+            if total > 1 << 20:
+                yield from tallied()
+        yield from tallied()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(scan, "doc_id bigint, stretch int, words array<string>, hits array<struct<pos:int,key:bigint>>")
 
 
-def leaked_windows(docs: DataFrame, items: DataFrame, window: int = 13, size: int = 5, read: Callable[[str | None], list[str]] = view, broadcast_limit: int = BROADCAST_SHINGLES) -> DataFrame:
+def leaked_windows(docs: DataFrame, items: DataFrame, window: int = 13, size: int = 5, read: Callable[[str | None], list[str]] = view, broadcast_limit: int = MOST_BITS) -> DataFrame:
     """Distinct doc_id, item_id, start: windows of items that a document holds word for word.
 
     docs: doc_id, text. items: item_id, text. read: the texts a reader sees of a
@@ -124,32 +196,34 @@ def leaked_windows(docs: DataFrame, items: DataFrame, window: int = 13, size: in
     digits in lower case. Null and empty texts, and items shorter than the window,
     hold nothing; repeated rows count once; other columns are not read. Texts are
     read whole, every document is compared with every item, and no candidate is
-    capped. Up to `broadcast_limit` distinct item shingles are sent to the tasks
-    that read the documents, so only matching stretches leave them; with more
-    shingles the document shingles are semi-joined by shuffle instead.
+    capped.
+
+    One plan for all sizes: a bit set of the items' shingles, of at most
+    `broadcast_limit` bits, is sent to the tasks that read the documents, so only
+    stretches that can hold a window leave them. With more items than it has room for
+    it lets more through, and the joins that follow still decide. Only a window's
+    rarest shingle, by the number of documents that hold it, is joined; a shingle that
+    many documents share is spread over `SALTS` tasks.
     """
     if not 0 < size <= window:
         raise ValueError("size must be between 1 and window")
     spark = docs.sparkSession
-    wins = cut(item_windows(items, window, size).distinct())
-    every = wins.select(F.explode("keys").alias("key")).distinct()
-    if every.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in every.collect()], np.int64)))
-        near = written(_stretches(docs, wanted, window, size, read), "stretches")
-        hits = near.select("doc_id", "stretch", F.inline("hits"))
-    else:
-        near = written(_stretches(docs, None, window, size, read), "stretches")
-        hits = near.select("doc_id", "stretch", F.inline("hits")).join(every, "key", "left_semi")
+    wins = written(item_windows(items, window, size).distinct(), "windows")
+    wanted = spark.sparkContext.broadcast(bloom_of(wins.select(F.explode("keys").alias("key")).distinct(), max(1 << 10, broadcast_limit)))
+    read_ = written(_stretches(docs, wanted, window, size, read), "stretches")
+    near = read_.filter("stretch >= 0")
+    hits = near.select("doc_id", "stretch", F.inline("hits"))
     # how many documents hold a shingle; one that none holds rules its windows out
-    rarity = hits.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"))
+    rarity = read_.filter("stretch < 0").select(F.inline("hits")).groupBy("key").agg(F.sum("pos").alias("n_docs"))
     held = wins.select("item_id", "start", "words", F.posexplode("keys").alias("offset", "key")).join(rarity, "key")
     prefix = (
         held.groupBy("item_id", "start", "words").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("n_docs", "key", "offset")).alias("rarest"))
         .filter(F.col("n") == window - size + 1)
         .select("item_id", "start", F.col("words").alias("item_words"), F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset"))
     )
+    salted = prefix.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     first = F.col("pos") - F.col("offset")
-    proposed = hits.join(prefix, "key").filter(first >= 0).select("doc_id", "stretch", first.alias("first"), "item_id", "start", "item_words")
+    proposed = hits.withColumn("salt", F.pmod(F.hash("doc_id", "stretch"), F.lit(SALTS))).join(salted, ["key", "salt"]).filter(first >= 0).select("doc_id", "stretch", first.alias("first"), "item_id", "start", "item_words")
     return (
         proposed.join(near.select("doc_id", "stretch", "words"), ["doc_id", "stretch"])
         .filter((F.col("first") + window <= F.size("words")) & (F.slice("words", F.col("first") + 1, window) == F.col("item_words")))

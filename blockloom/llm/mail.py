@@ -77,36 +77,53 @@ def _without_tags(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def _parts(head: str, body: str, depth: int) -> list[str]:
-    found = _TYPE.search(head)
-    kind = found[1] if found else ""
-    low = kind[:24].lower()
-    if low.startswith("multipart/") and depth < 8:
-        mark = _BOUNDARY.search(kind)
-        mark = (mark[1] or mark[2]) if mark else None
-        if not mark or f"--{mark}" not in body:
-            first = _FIRST_BOUNDARY.search(body)
-            mark = first[1].rstrip() if first else None
-        if mark:
-            out = []
-            for piece in f"\n{body}".split(f"\n--{mark}")[1:]:
-                if piece.startswith("--"):
-                    break
-                piece = piece.partition("\n")[2]
-                inner, gap, rest = ("", "\n", piece[1:]) if piece.startswith("\n") else piece.partition("\n\n")
-                if not gap and ":" not in inner.partition("\n")[0]:
-                    inner, rest = "", piece
-                out += _parts(inner, rest, depth + 1)
-            return out
-    if low.startswith("message/rfc822") and depth < 8:
-        inner, _, rest = _decoded(head, body).partition("\n\n")
-        return _parts(inner, rest, depth + 1)
-    if low and not low.startswith(("text/", "multipart/", "message/")):
-        return []
-    text = _decoded(head, body)
-    if low.startswith("text/html") or text[:200].lstrip()[:6].lower() in ("<html>", "<!doct"):
-        text = _without_tags(text)
-    return [text]
+def _pieces(kind: str, body: str) -> list[tuple[str, str]] | None:
+    """(head, body) of each piece of a multipart body; None if it has no boundary."""
+    mark = _BOUNDARY.search(kind)
+    mark = (mark[1] or mark[2]) if mark else None
+    if not mark or f"--{mark}" not in body:
+        first = _FIRST_BOUNDARY.search(body)
+        mark = first[1].rstrip() if first else None
+    if not mark:
+        return None
+    out = []
+    for piece in f"\n{body}".split(f"\n--{mark}")[1:]:
+        if piece.startswith("--"):
+            break
+        piece = piece.partition("\n")[2]
+        inner, gap, rest = ("", "\n", piece[1:]) if piece.startswith("\n") else piece.partition("\n\n")
+        if not gap and ":" not in inner.partition("\n")[0]:
+            inner, rest = "", piece
+        out.append((inner, rest))
+    return out
+
+
+def _parts(head: str, body: str) -> list[str]:
+    """The texts of all parts, in order, however deep they are nested; each is shorter than what holds it."""
+    out, todo = [], [(head, body)]
+    while todo:
+        head, body = todo.pop()
+        found = _TYPE.search(head)
+        kind = found[1] if found else ""
+        low = kind[:24].lower()
+        if low.startswith("multipart/"):
+            pieces = _pieces(kind, body)
+            if pieces is not None:
+                todo += reversed(pieces)
+                continue
+        if low.startswith("message/rfc822"):
+            inner, _, rest = _decoded(head, body).partition("\n\n")
+            # a body that its coding did not shorten has no further head to read
+            if len(inner) + len(rest) < len(head) + len(body):
+                todo.append((inner, rest))
+                continue
+        if low and not low.startswith(("text/", "multipart/", "message/")):
+            continue
+        text = _decoded(head, body)
+        if low.startswith("text/html") or text[:200].lstrip()[:6].lower() in ("<html>", "<!doct"):
+            text = _without_tags(text)
+        out.append(text)
+    return out
 
 
 def subject(head: str) -> str:
@@ -129,7 +146,7 @@ def view(text: str | None) -> list[str]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     head, _, body = text.partition("\n\n")
-    parts = _parts(head, body, 0)
+    parts = _parts(head, body)
     parts = [p if p.isascii() else _MISREAD.sub(_reread, p) for p in (subject(head), *parts)]
     return [parts[0], *[_QUOTE.sub("", p) if ">" in p or "|" in p else p for p in parts[1:]]]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.mixture import MAX_LEAVES, Node, plan, select_prefixes, short, with_tokens
-from blockloom.session import table, written
+from blockloom.session import few, table, written
 
 #: Domain of each source; sources not named belong to `mail`.
 DOMAINS = {"newsletters": "bulk", "alerts": "bulk", "lists": "bulk"}
@@ -19,17 +19,15 @@ def _tokens(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, base: str, tokens: DataFrame) -> tuple[Node, int, dict[str, tuple[float, int]]]:
-    sums = tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(sums) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    rows = table(spark, base, "mix_targets").limit(MAX_LEAVES + 1).collect()
+    sums = few(tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")), MAX_LEAVES)
+    rows = few(table(spark, base, "mix_targets").filter("source is not null"), MAX_LEAVES)
     targets = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in rows}
     tree, total = plan(sorted((DOMAINS.get(r.source, "mail"), r.source, r.lang, r.n) for r in sums), targets)
     return tree, total, targets
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    """Sources that the tree asks for more tokens than their repeats allow."""
+    """Sources of the leaves whose budget by weight is more than their repeats allow: those the tree found short."""
     tree, _, _ = _plan(spark, base, _tokens(spark, base))
     return spark.createDataFrame([(s,) for s in short(tree)], "source string")
 
@@ -37,8 +35,8 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, dict[str, tuple[float, int]], int]:
     tokens = _tokens(spark, base)
     tree, total, targets = _plan(spark, base, tokens)
-    sizes = {(r.source, r.lang): r.n for r in tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()}
-    rows = [(f"{p[1]}/{p[2]}", sizes[p[1:]], leaf.budget) for p, leaf in tree.leaves() if len(p) == 3]
+    sizes = {(r.source, r.lang): r.n for r in few(tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")), MAX_LEAVES)}
+    rows = [(f"{source}/{lang}", sizes[source, lang], float(leaf.budget)) for (_, lang, source), leaf in tree.leaves() if (source, lang) in sizes]
     budgets = spark.createDataFrame(rows, "leaf string, tokens bigint, budget double")
     return select_prefixes(tokens.withColumn("leaf", F.concat_ws("/", "source", "lang")), budgets), targets, total
 
@@ -51,7 +49,7 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     """Target and actual share of each source in the mix."""
     mix, targets, _ = _mix(spark, base)
     per = mix.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mix_tokens"), F.sum("n_tokens").alias("own_tokens"), F.max("copies").alias("most_repeats"))
-    got = {r.source: r for r in per.limit(MAX_LEAVES + 1).collect()}
+    got = {r.source: r for r in few(per, MAX_LEAVES)}
     total = sum(r.mix_tokens for r in got.values()) or 1
     rows = []
     for source, (share, repeats) in targets.items():

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from blockloom.llm import contamination as C
 from blockloom.llm import mixture as M
@@ -58,6 +59,17 @@ def test_view_never_fails(text):
     assert isinstance(view(text), list)
 
 
+def test_nested_to_any_depth():
+    text = "Content-Type: text/plain\n\nlast words"
+    for i in range(1500):
+        text = f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n{text}\n--b{i}--"
+    assert joined(f"Subject: s\n{text}") == "s last words"
+    rfc = "Content-Type: text/plain\n\nfound it"
+    for _ in range(30):
+        rfc = f"Content-Type: message/rfc822\n\n{rfc}"
+    assert joined(f"Subject: s\n{rfc}") == "s found it"
+
+
 def test_damaged():
     for text in ("", "\n\n", "x", mail("abc", "Content-Transfer-Encoding: base64"), mail("=Z", "Content-Transfer-Encoding: quoted-printable"), mail("é", "Content-Type: text/plain; charset=nonsense", "Content-Transfer-Encoding: quoted-printable")):
         view(text)
@@ -105,6 +117,25 @@ def test_leaks(spark, window, size, limit):
     assert set(report) == {x[1] for x in brute(docs, items, window)} and all(n >= window for _, n in report.values())
 
 
+def test_filter_never_misses(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    mine = np.array([r.key for r in keys.collect()], np.int64)
+    others = np.array([r.key for r in spark.range(5000, 25_000).select(F.xxhash64("id").alias("key")).collect()], np.int64)
+    wide, narrow = C.bloom_of(keys), C.bloom_of(keys, 1 << 12)
+    assert wide.holds(mine).all() and wide.holds(others).mean() < 0.02 and int(mine[0]) in wide
+    assert narrow.holds(mine).all() and narrow.holds(others).mean() > 0.5
+    assert not C.bloom_of(keys.limit(0)).holds(mine).any()
+
+
+def test_common_passage(spark):
+    """A passage that most documents hold, in several items: every pair is found, and shingles count documents."""
+    text = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"a{i} b c {text} d{i}") for i in range(300)] + [(1000, "p0 p1 p2 p3 p4 other")], "doc_id bigint, text string").repartition(5)
+    items = spark.createDataFrame([(1, text), (2, "x y " + text), (3, "p0 p1 p2 p3 p4 p5 nothing else in here that any of them holds")], "item_id bigint, text string")
+    got = C.leaked_windows(docs, items, read=lambda t: [t or ""])
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, i) for d in range(300) for i in (1, 2)}
+
+
 def test_leaks_edges(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string")
@@ -121,7 +152,8 @@ def test_leaks_edges(spark):
 
 
 def leaf_budgets(tree):
-    return {p[1:]: leaf.budget for p, leaf in tree.leaves() if len(p) == 3}
+    """By source and language; the tree is domain - language - source. Sources without documents are left out."""
+    return {(source, lang): float(leaf.budget) for (_, lang, source), leaf in tree.leaves() if leaf.cap > 0}
 
 
 def test_plan():
@@ -138,6 +170,21 @@ def test_plan():
     tree, _ = M.plan(sizes, {"a": (0.1, 1), "b": (0.2, 2), "c": (0.7, 1), "none": (0.1, 3)})
     assert set(M.short(tree)) == {"b", "c", "none"} and sum(leaf_budgets(tree).values()) == pytest.approx(2000)
     assert M.plan([], {"a": (1.0, 1)})[0].budget == 0
+    # the shortage of b's English goes to its sibling source in English, not to the domain's other language
+    sizes = [("d", "a", "en", 500), ("d", "a", "de", 500), ("d", "b", "en", 100), ("e", "c", "en", 900)]
+    tree, _ = M.plan(sizes, {"a": (0.4, 2), "b": (0.2, 1), "c": (0.4, 1)})
+    assert leaf_budgets(tree) == pytest.approx({("a", "en"): 700, ("a", "de"): 400, ("b", "en"): 100, ("c", "en"): 800}) and M.short(tree) == ["b"]
+    shortage = {p: leaf.shortage for p, leaf in tree.leaves() if leaf.shortage}
+    assert [(p[2], round(float(x), 6)) for p, x in shortage.items()] == [("b", 300.0)]
+
+
+@given(st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from(["x", "y"]), st.integers(0, 1000)), max_size=8), st.dictionaries(st.sampled_from("abcde"), st.tuples(st.floats(0, 1), st.integers(0, 4)), max_size=5))
+def test_shortage_is_that_of_the_source(sizes, targets):
+    """Exactly the sources whose repeats cannot reach share * total are short, at any borderline."""
+    sizes = list({(s, lang): ("d" + s, s, lang, n) for s, lang, n in sizes}.values())
+    tree, total = M.plan(sizes, targets)
+    own = {s: sum(n for _, t, _, n in sizes if t == s) for s in "abcde"}
+    assert set(M.short(tree)) == {s for s, (share, repeats) in targets.items() if repeats * own[s] < M.Fraction(share) * total}
 
 
 @given(st.lists(st.tuples(st.sampled_from("de"), st.sampled_from("abcd"), st.sampled_from(["x", "y"]), st.integers(0, 1000)), max_size=12), st.dictionaries(st.sampled_from("abcd"), st.tuples(st.floats(0, 1), st.integers(0, 4)), max_size=4))
@@ -173,7 +220,11 @@ def test_tokens(spark):
     got = {r.doc_id: r.n_tokens for r in M.with_tokens(df, ["doc_id"]).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and abs(got[4] - 60_001) <= 1 and got[5] > 1
     cut = {r.doc_id: r.n_tokens for r in M.with_tokens(df, ["doc_id"], piece=1000).collect()}
-    assert abs(cut[4] - got[4]) <= 400
+    assert cut == got
+    rnd = random.Random(0)
+    mixed = " ".join(rnd.choice(["grüße", "it's", "  two", "\n\n line", "x1 2", "don't", "日本 語", "end. ", "a\tb"]) for _ in range(3000))
+    odd = spark.createDataFrame([(1, mixed), (2, "x" * 5000), (3, " " * 5000), (4, mixed.replace(" ", "  "))], "doc_id bigint, text string")
+    assert [r.n_tokens for r in M.with_tokens(odd, ["doc_id"], piece=100).orderBy("doc_id").collect()] == [r.n_tokens for r in M.with_tokens(odd, ["doc_id"]).orderBy("doc_id").collect()]
     assert M.with_tokens(df.limit(0), ["doc_id"]).count() == 0
 
 
