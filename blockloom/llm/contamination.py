@@ -26,6 +26,8 @@ MOST_BITS = 1 << 29
 SALTS = 8
 #: Weight of a word by its place in the shingle; odd, so that no place is lost.
 _STEP = 0x9E3779B97F4A7C15
+#: Odd numbers that spread a key over the filter.
+_TURNS = np.array([_STEP, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def shingles(tokens: Sequence[str], size: int, known: dict[str, int] | None = None) -> np.ndarray:
@@ -57,13 +59,13 @@ def item_windows(items: DataFrame, window: int, size: int) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = words(text or "")
                 keys = shingles(tokens, size)
-                rows += [(item, i, tokens[i : i + window], keys[i : i + window - size + 1].tolist()) for i in range(len(tokens) - window + 1)]
+                rows += [(item, i, " ".join(tokens[i : i + window]), keys[i : i + window - size + 1].tolist()) for i in range(len(tokens) - window + 1)]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())], strict=True)], names=["item_id", "start", "words", "keys"]
+                [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())], strict=True)], names=["item_id", "start", "words", "keys"]
             )
 
-    return items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter("item_id is not null").mapInArrow(split, "item_id bigint, start int, words array<string>, keys array<bigint>")
+    return items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter("item_id is not null").mapInArrow(split, "item_id bigint, start int, words string, keys array<bigint>")
 
 
 def _trim(known: dict) -> None:
@@ -78,18 +80,23 @@ class Bloom:
         self.words, self.size = bits, np.uint64(len(bits) * 64 - 1)
 
     @staticmethod
-    def places(keys: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+    def places(keys: np.ndarray, mask: np.uint64, turn: int) -> np.ndarray:
+        """The bit of each key in one of the three turns."""
         k = keys.view(np.uint64)
-        return [((k ^ (k >> np.uint64(32))) * m >> np.uint64(7)) & mask for m in (np.uint64(_STEP), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))]
+        return ((k ^ (k >> np.uint64(32))) * _TURNS[turn] >> np.uint64(7)) & mask
 
     def __contains__(self, key: int) -> bool:
-        return bool(self.holds(np.array([key], np.int64))[0])
+        return len(self.held(np.array([key], np.int64))) > 0
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for at in self.places(keys, self.size):
-            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-        return out
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """Indices of the keys that may be in the set; later turns look only at what earlier ones left."""
+        left = np.arange(len(keys))
+        for turn in range(len(_TURNS)):
+            at = self.places(keys[left] if turn else keys, self.size, turn)
+            left = left[(self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+            if not len(left):
+                break
+        return left
 
 
 def bloom_of(keys: DataFrame, most_bits: int = MOST_BITS) -> Bloom:
@@ -101,7 +108,8 @@ def bloom_of(keys: DataFrame, most_bits: int = MOST_BITS) -> Bloom:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_ = np.zeros(size // 64, np.uint64)
         for batch in batches:
-            for at in Bloom.places(batch.column(0).to_numpy(zero_copy_only=False), np.uint64(size - 1)):
+            for turn in range(len(_TURNS)):
+                at = Bloom.places(batch.column(0).to_numpy(zero_copy_only=False), np.uint64(size - 1), turn)
                 np.bitwise_or.at(words_, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
         for i in range(0, len(words_), piece):
             part = words_[i : i + piece]
@@ -146,11 +154,11 @@ def _stretches(docs: DataFrame, wanted, window: int, size: int, read: Callable[[
             total = 0
             for i in range(0, len(keys), 4096):
                 hits = [{"pos": int(c), "key": int(k)} for k, c in zip(keys[i : i + 4096], n[i : i + 4096], strict=True)]
-                yield rows([None], [-1], [[]], [hits])
+                yield rows([None], [-1], [""], [hits])
 
         def rows(ids, marks, texts, hits) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(texts, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())])))],
+                [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(texts, pa.string()), pa.array(hits, pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())])))],
                 names=["doc_id", "stretch", "words", "hits"],
             )
 
@@ -161,7 +169,7 @@ def _stretches(docs: DataFrame, wanted, window: int, size: int, read: Callable[[
                 for part in read(text):
                     tokens = words(part)
                     keys = shingles(tokens, size, known)
-                    at = np.flatnonzero(sieve.holds(keys))
+                    at = sieve.held(keys)
                     if not len(at):
                         continue
                     found.append(keys[at])
@@ -173,7 +181,7 @@ def _stretches(docs: DataFrame, wanted, window: int, size: int, read: Callable[[
                         first, last = max(0, int(group[0]) - reach), min(len(tokens), int(group[-1]) + window)
                         ids.append(doc)
                         marks.append(mark)
-                        texts.append(tokens[first:last])
+                        texts.append(" ".join(tokens[first:last]))
                         hits.append([{"pos": int(p) - first, "key": int(keys[p])} for p in group])
                         mark += 1
                 if found:
@@ -185,7 +193,7 @@ def _stretches(docs: DataFrame, wanted, window: int, size: int, read: Callable[[
                 yield from tallied()
         yield from tallied()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(scan, "doc_id bigint, stretch int, words array<string>, hits array<struct<pos:int,key:bigint>>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(scan, "doc_id bigint, stretch int, words string, hits array<struct<pos:int,key:bigint>>")
 
 
 def leaked_windows(docs: DataFrame, items: DataFrame, window: int = 13, size: int = 5, read: Callable[[str | None], list[str]] = view, broadcast_limit: int = MOST_BITS) -> DataFrame:
@@ -226,7 +234,7 @@ def leaked_windows(docs: DataFrame, items: DataFrame, window: int = 13, size: in
     proposed = hits.withColumn("salt", F.pmod(F.hash("doc_id", "stretch"), F.lit(SALTS))).join(salted, ["key", "salt"]).filter(first >= 0).select("doc_id", "stretch", first.alias("first"), "item_id", "start", "item_words")
     return (
         proposed.join(near.select("doc_id", "stretch", "words"), ["doc_id", "stretch"])
-        .filter((F.col("first") + window <= F.size("words")) & (F.slice("words", F.col("first") + 1, window) == F.col("item_words")))
+        .filter(F.array_join(F.slice(F.split("words", " "), F.col("first") + 1, window), " ") == F.col("item_words"))
         .select("doc_id", "item_id", "start").distinct()
     )
 
