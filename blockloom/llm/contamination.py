@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +31,32 @@ _STEP = 0x9E3779B97F4A7C15
 _TURNS = np.array([_STEP, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def shingles(tokens: Sequence[str], size: int, known: dict[str, int] | None = None) -> np.ndarray:
-    """64-bit hashes of the runs of `size` words, by start; as signed integers."""
-    known = {} if known is None else known
-    if len(tokens) < size:
-        return np.zeros(0, np.int64)
-    each = []
+def _hashes(tokens: Sequence[str], known: dict[str, int]) -> list[int]:
+    """The 64-bit hash of each word; `known` keeps those it has met."""
+    out = []
     for t in tokens:
         h = known.get(t)
         if h is None:
             h = known[t] = xxhash.xxh64_intdigest(t)
-        each.append(h)
-    each = np.array(each, np.uint64)
-    count = len(each) - size + 1
+        out.append(h)
+    return out
+
+
+def _rolled(each: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` word hashes, by start; as signed integers."""
+    count = max(0, len(each) - size + 1)
     out = np.zeros(count, np.uint64)
-    for i in range(size):
+    for i in range(size if count else 0):
         out = out * np.uint64(_STEP) + each[i : i + count]
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
+def shingles(tokens: Sequence[str], size: int, known: dict[str, int] | None = None) -> np.ndarray:
+    """64-bit hashes of the runs of `size` words, by start; as signed integers."""
+    return _rolled(np.array(_hashes(tokens, {} if known is None else known), np.uint64), size)
+
+
 def item_windows(items: DataFrame, window: int, size: int) -> DataFrame:
     """item_id, start, words, keys: every window of every item with its shingles. Shorter items have none."""
 
@@ -136,7 +143,8 @@ def bloom_of(keys: DataFrame, most_bits: int = MOST_BITS) -> Bloom:
 def _stretches(docs: DataFrame, wanted, window: int, size: int, read: Callable[[str | None], list[str]]) -> DataFrame:
     """doc_id, stretch, words, hits(pos, key): the stretches of each document around shingles that pass the filter.
 
-    A stretch has every word that a window over one of its hits can take in. Rows with
+    A stretch has every word that a window over one of its hits can take in, and a number
+    of its own. Rows with
     stretch -1 tell, in `hits`, in how many documents (pos) a shingle (key) occurs, as
     far as one task has read: of all documents, whether they have a stretch or not.
     """
@@ -158,42 +166,63 @@ def _stretches(docs: DataFrame, wanted, window: int, size: int, read: Callable[[
 
         def rows(ids, marks, texts, hits) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(texts, pa.string()), pa.array(hits, pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())])))],
+                [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(texts, pa.string()), pa.array(hits, pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64())])))],
                 names=["doc_id", "stretch", "words", "hits"],
             )
 
+        reach = window - size
+        mark = TaskContext.get().partitionId() << 40
+
+        def settled(docs_: list[int], parts: list[list[str]], each: list[int]) -> pa.RecordBatch:
+            """The stretches of some parts of documents, whose words' hashes are `each` one after the other."""
+            nonlocal total, mark
+            ends = np.cumsum([len(p) for p in parts])
+            starts = ends - [len(p) for p in parts]
+            keys = _rolled(np.array(each, np.uint64), size)
+            at = sieve.held(keys)
+            part = np.searchsorted(ends, at, side="right")
+            inside = at + size <= ends[part]  # no shingle crosses from one part to the next
+            at, part = at[inside], part[inside]
+            out: tuple = ([], [], [], [])
+            for group in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > 2 * reach) | (np.diff(part) > 0)) + 1) if len(at) else []:
+                # of fewer shingles than a window has, no window can be made
+                if len(group) <= reach:
+                    continue
+                p = int(part[group[0]])
+                low, tokens = int(starts[p]), parts[p]
+                first, last = max(0, int(at[group[0]]) - low - reach), min(len(tokens), int(at[group[-1]]) - low + window)
+                mark += 1
+                for column, value in zip(out, (docs_[p], mark, " ".join(tokens[first:last]), [{"pos": int(at[i]) - low - first, "key": int(keys[at[i]])} for i in group]), strict=True):
+                    column.append(value)
+            if len(at):
+                # a document's parts are settled together, so it counts a shingle once
+                doc = np.unique(np.array(docs_, np.int64), return_inverse=True)[1][part]
+                order = np.lexsort((keys[at], doc))
+                k, d = keys[at][order], doc[order]
+                once = np.ones(len(k), bool)
+                once[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+                counted.append(k[once])
+                total += len(counted[-1])
+            return rows(*out)
+
+        docs_, parts, each = [], [], []
         for batch in batches:
-            ids, marks, texts, hits = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mark, found = 0, []
-                for part in read(text):
-                    tokens = words(part)
-                    keys = shingles(tokens, size, known)
-                    at = sieve.held(keys)
-                    if not len(at):
-                        continue
-                    found.append(keys[at])
-                    reach = window - size
-                    for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-                        # of fewer shingles than a window has, no window can be made
-                        if len(group) <= reach:
-                            continue
-                        first, last = max(0, int(group[0]) - reach), min(len(tokens), int(group[-1]) + window)
-                        ids.append(doc)
-                        marks.append(mark)
-                        texts.append(" ".join(tokens[first:last]))
-                        hits.append([{"pos": int(p) - first, "key": int(keys[p])} for p in group])
-                        mark += 1
-                if found:
-                    counted.append(np.unique(np.concatenate(found)))
-                    total += len(counted[-1])
+                for tokens in map(words, read(text)):
+                    docs_.append(doc)
+                    parts.append(tokens)
+                    each += _hashes(tokens, known)
                 _trim(known)
-            yield rows(ids, marks, texts, hits)
+                if len(each) > 1 << 17:
+                    yield settled(docs_, parts, each)
+                    docs_, parts, each = [], [], []
             if total > 1 << 20:
                 yield from tallied()
+        if parts:
+            yield settled(docs_, parts, each)
         yield from tallied()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(scan, "doc_id bigint, stretch int, words string, hits array<struct<pos:int,key:bigint>>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(scan, "doc_id bigint, stretch bigint, words string, hits array<struct<pos:int,key:bigint>>")
 
 
 def leaked_windows(docs: DataFrame, items: DataFrame, window: int = 13, size: int = 5, read: Callable[[str | None], list[str]] = view, broadcast_limit: int = MOST_BITS) -> DataFrame:
@@ -231,9 +260,9 @@ def leaked_windows(docs: DataFrame, items: DataFrame, window: int = 13, size: in
     )
     salted = prefix.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     first = F.col("pos") - F.col("offset")
-    proposed = hits.withColumn("salt", F.pmod(F.hash("doc_id", "stretch"), F.lit(SALTS))).join(salted, ["key", "salt"]).filter(first >= 0).select("doc_id", "stretch", first.alias("first"), "item_id", "start", "item_words")
+    proposed = hits.withColumn("salt", F.pmod(F.hash("stretch"), F.lit(SALTS))).join(salted, ["key", "salt"]).filter(first >= 0).select("doc_id", "stretch", first.alias("first"), "item_id", "start", "item_words")
     return (
-        proposed.join(near.select("doc_id", "stretch", "words"), ["doc_id", "stretch"])
+        proposed.join(near.select("stretch", "words"), "stretch")
         .filter(F.array_join(F.slice(F.split("words", " "), F.col("first") + 1, window), " ") == F.col("item_words"))
         .select("doc_id", "item_id", "start").distinct()
     )
