@@ -81,6 +81,21 @@ def classify(spark: SparkSession, filters: Sequence[str], column: str) -> tuple[
     return prune, [c for c in parts if c not in prune]
 
 
+def simple_bounds(spark: SparkSession, pruners: Sequence[str], column: str) -> tuple[int, int]:
+    """[low, high) outside which some pruner, a comparison of the column with a whole number, is false."""
+    low, high = -(1 << 63), 1 << 63
+    for text in pruners:
+        found = re.fullmatch(r"\(*\s*`?(\w+)`?\s*(<=|>=|<|>|=|<=>)\s*(-?\d+)[lL]?\s*\)*", text.strip())
+        if not found or found[1].lower() != column.lower():
+            continue
+        n = int(found[3])
+        if found[2] in (">", ">=", "=", "<=>"):
+            low = max(low, n + (found[2] == ">"))
+        if found[2] in ("<", "<=", "=", "<=>"):
+            high = min(high, n + (found[2] != "<"))
+    return low, high
+
+
 def surviving(spark: SparkSession, pruners: Sequence[str], column: str, bounds: Sequence[tuple[int, int]]) -> set[int]:
     """Lower bounds of the partitions [lower, upper) in which some number passes all pruners.
 
@@ -89,15 +104,22 @@ def surviving(spark: SparkSession, pruners: Sequence[str], column: str, bounds:
     """
     if not pruners or not bounds:
         return {a for a, _ in bounds}
-    spans = spark.createDataFrame([(a, b - 1) for a, b in bounds if b > a], "_lower bigint, _last bigint")
+    low, high = simple_bounds(spark, pruners, column)
+    # numbers beyond what plain comparisons allow need not be tried
+    clipped = [(a, max(a, low), min(b, high)) for a, b in bounds]
+    bounds = [(x, b) for _, x, b in clipped if b > x]
+    if not bounds:
+        return set()
+    first = {x: a for a, x, b in clipped if b > x}
+    spans = spark.createDataFrame([(a, b - 1) for a, b in bounds], "_lower bigint, _last bigint")
     tries = max(1, min(len(bounds), sum(b - a for a, b in bounds) // 1_000_000))
     numbers = spans.repartition(tries).select("_lower", F.explode(F.sequence("_lower", "_last")).alias(column))
     for p in pruners:
         numbers = numbers.filter(F.expr(p))
     try:
-        return {r._lower for r in numbers.select("_lower").distinct().collect()}
+        return {first[r._lower] for r in numbers.select("_lower").distinct().collect()}
     except PySparkException:
-        return {a for a, _ in bounds}
+        return set(first.values())
 
 
 def merged(filters: Sequence[str]) -> str:

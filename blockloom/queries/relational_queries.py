@@ -54,7 +54,13 @@ def join_cross(spark: SparkSession, base: str) -> DataFrame:
 
 
 def agg_approx(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("n_orders"), F.percentile_approx("l_quantity", 0.5).alias("median_quantity"))
+    """Approximate aggregates beside the exact ones, and whether they are within their error: 3 standard errors of 2 %, and a rank within 1 %."""
+    rows = table(spark, base, "lineitem")
+    got = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("approx"), F.countDistinct("l_orderkey").alias("n_orders"), F.percentile_approx("l_quantity", 0.5, 100).alias("middle"), F.count(F.lit(1)).alias("n"))
+    below = rows.join(got.select("l_returnflag", "middle"), "l_returnflag").groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") < F.col("middle")).alias("lower"), F.count_if(F.col("l_quantity") <= F.col("middle")).alias("upper"))
+    near = F.abs(F.col("approx") / F.col("n_orders") - 1) <= 0.06
+    ranked = (F.col("lower") <= 0.51 * F.col("n")) & (F.col("upper") >= 0.49 * F.col("n"))
+    return got.join(below, "l_returnflag").select("l_returnflag", "n_orders", near.alias("near"), ranked.alias("ranked"))
 
 
 def sinks(spark: SparkSession, base: str) -> DataFrame:
@@ -146,6 +152,7 @@ ORACLE = {name: text for name, (text, _) in _SAME.items()} | {
     "join_anti": "SELECT c_mktsegment, count(*) n FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1",
     "join_cross": "SELECT n_name, r_name, n_regionkey = r_regionkey AS own FROM nation CROSS JOIN region",
     "join_range": "SELECT p_partkey, count(*) n_suppliers FROM part JOIN (SELECT round(s_acctbal, 2) low FROM supplier) s ON low > 0 AND p_retailprice >= low AND p_retailprice < low + 50.0 GROUP BY 1",
+    "agg_approx": "SELECT l_returnflag, count(DISTINCT l_orderkey) n_orders, true AS near, true AS ranked FROM lineitem GROUP BY 1",
     "win_frame": "SELECT o_orderkey, (sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT last3, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) near FROM orders",
     "table_union": "SELECT day, count(*) n FROM (SELECT ingested_at::DATE AS day FROM txns UNION ALL SELECT ingested_at::DATE FROM logs) GROUP BY 1",
     "sinks": "SELECT form, c_mktsegment, count(*) n, sum(c_custkey)::BIGINT keys FROM customer, (SELECT unnest(['parquet', 'orc', 'json', 'csv']) form) GROUP BY 1, 2",

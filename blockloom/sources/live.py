@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from blockloom.plans.blocks import BlockSet, batches, blocks_frame, resolve_bounds
@@ -39,7 +41,7 @@ class Blocks(InputPartition):
 
 class LiveReader(DataSourceReader):
     def __init__(self, schema, options):
-        self.names = schema.fieldNames()
+        self.arrow = to_arrow_schema(schema)
         self.fetch = cloudpickle.loads(bytes.fromhex(options["fetch"]))
         self.blocks = BlockSet(tuple(tuple(r) for r in json.loads(options["ranges"])))
         self.column = options["column"]
@@ -69,8 +71,10 @@ class LiveReader(DataSourceReader):
 
     def read(self, partition):
         for chunk in batches(BlockSet(partition.ranges), self.batch) if partition.ranges else []:
-            for row in self.fetch(list(chunk)):
-                yield tuple(row.get(n) for n in self.names)
+            rows = self.fetch(list(chunk))
+            # a record batch at a time: no row is converted one by one on its way to the JVM
+            columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in self.arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=self.arrow)
 
 
 class LiveSource(DataSource):

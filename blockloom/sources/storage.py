@@ -110,6 +110,8 @@ class StorageConf:
         """Whether a location lies in this store: same scheme and bucket, and below its path."""
         if self.kind == "ipfs":
             return where.scheme == "ipfs"
+        if self.kind == "memory":
+            return any(where.url.startswith(f"{folder}/") for (_, name), folder in _MEMORY.items() if name == self.bucket)
         own = urlsplit(self.base)
         return where.scheme == own.scheme and (where.bucket or "") == own.netloc and f"/{where.path}/".startswith(own.path.rstrip("/") + "/")
 
@@ -170,7 +172,7 @@ class Store:
 
     def readable(self, url: str) -> str:
         """Where Spark can read a location of this store."""
-        return self.base + url.removeprefix(self.conf.base) if self.conf.kind == "memory" else url
+        return url
 
     def write_partition(self, rows, name: str) -> str:
         """Write rows, which their caller has put into one partition, as one file or folder; returns its location."""

@@ -12,11 +12,12 @@ from blockloom import cli
 from blockloom.engine import Config, Engine
 from blockloom.functions import ledger as L
 from blockloom.functions.dialect import translate
+from blockloom.plans.names import replaced
 from blockloom.operators.builder import build_index, build_partition, build_range, load_or_create
 from blockloom.sources.index_scan import scan_index
 from blockloom.sources.live import RpcClient, RpcConfig, batch_rows, load_chain, read_assets, scan_live
-from blockloom.sources.manifest import BlockPartition, Manifest
-from blockloom.sources.storage import Location, StorageConf, Store, store_for
+from blockloom.sources.manifest import BlockPartition, Manifest, upserted
+from blockloom.sources.storage import Location, StorageConf, Store, location_parts, store_for
 from blockloom.spec import BLOCK_NUMBER, U256, VARCHAR, ChainSpec, ColumnSpec, EntitySpec, eth_blocks, eth_logs, fixed_bytes
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
@@ -296,6 +297,93 @@ def test_cli(spark, node, tmp_path, capsys):
     assert cli.main(["--config", str(conf), "index", "--chain", "none"], spark) == 1
 
 
+def test_repl(spark, capsys):
+    lines = ["SELECT 1 AS a,\n", "  2 AS b;\n", "SELECT broken(;\n", ";\n", "SELECT 3 AS c\n"]
+    assert list(cli.statements(lines[:2] + ["\\q\n", "SELECT 9;"])) == ["SELECT 1 AS a,\n  2 AS b;\n"]
+    assert cli.repl(Engine(spark), lines, "jsonl") == 1
+    out = capsys.readouterr()
+    assert out.out.split() == ['{"a":1,"b":2}', '{"c":3}'] and "error" in out.err
+
+
+def test_names(spark):
+    known = {("blocks",): "v_b", ("logs",): "v_l", ("eth", "blocks"): "v_b", ("main", "eth", "logs"): "v_l"}
+
+    def of(text):
+        return replaced(spark, text, lambda p: known.get(tuple(p)))
+
+    assert of("WITH blocks AS (SELECT 1 AS x) SELECT * FROM blocks") == ("WITH blocks AS (SELECT 1 AS x) SELECT * FROM blocks", [])
+    assert of("SELECT 'é𝄞 FROM blocks' FROM blocks -- blocks")[0] == "SELECT 'é𝄞 FROM blocks' FROM (v_b AS `blocks`) -- blocks"
+    assert of("SELECT eth.blocks.*, eth.blocks.x FROM eth.blocks, main.eth.logs l")[0] == "SELECT `blocks`.*, `blocks`.`x` FROM (v_b AS `blocks`), (v_l AS `logs`) l"
+    assert of("SELECT 1 WHERE EXISTS (SELECT 1 FROM logs) AND 2 IN (SELECT x FROM blocks)")[1] == ["v_l", "v_b"] or of("SELECT 1 WHERE EXISTS (SELECT 1 FROM logs) AND 2 IN (SELECT x FROM blocks)")[1] == ["v_b", "v_l"]
+    assert of("TABLE blocks")[0] == "TABLE v_b"
+
+
+def test_sql_forms(spark, tmp_path):
+    store = Store(spark, StorageConf("file", str(tmp_path)))
+    m = Manifest("eth", 100)
+    build_range(m.new_table("t", "id", SCHEMA), rows(spark, 0, 1000), store, "eth", 0, 1000)
+    e = Engine(spark)
+    c = (ColumnSpec("id", BLOCK_NUMBER, False, F.col("id")), ColumnSpec("text", VARCHAR, True, F.col("text")))
+    e.add_chain(ChainSpec("eth", {"t": EntitySpec("t", "id", c)}, lambda: 999, 100), m)
+    e.add_chain(synthetic())
+    assert e.sql("WITH t AS (SELECT 1 AS x) SELECT count(*) AS n FROM t").first().n == 1
+    assert e.sql("WITH t AS (SELECT id FROM t WHERE id < 7) SELECT count(*) AS n FROM t").first().n == 7
+    assert e.sql("SELECT count(*) AS n FROM t a, t b WHERE a.id = b.id + 990").first().n == 10
+    df = e.sql("SELECT id FROM t WHERE id >= ? AND id < ?", [150, 180])
+    assert df.count() == 30 and len(df.inputFiles()) == 1
+    assert "GreaterThanOrEqual(id,950)" in e.sql("EXPLAIN FORMATTED SELECT * FROM t WHERE id >= 950").first().plan
+    # a table without an index and without a condition can be explained, but not read
+    assert "Physical Plan" in e.sql("EXPLAIN SELECT * FROM testy.t").first().plan
+    # files that lie in none of the configured stores are refused
+    e.add_store(StorageConf("file", str(tmp_path)))
+    assert e.sql("SELECT count(*) AS n FROM t").first().n == 1000
+    other = Engine(spark)
+    other.add_chain(e.chains["eth"], m)
+    (tmp_path / "else").mkdir()
+    other.add_store(StorageConf("file", str(tmp_path / "else")))
+    with pytest.raises(LookupError):
+        other.sql("SELECT * FROM t").count()
+
+
+def test_resume_and_repeat(spark, tmp_path):
+    store = Store(spark, StorageConf("memory", bucket="resume"))
+    tables = {"t": ("id", SCHEMA), "u": ("id", SCHEMA)}
+    m = load_or_create(store, "c", tables, 100)
+    done = []
+    build_index(spark, m, lambda t, a, b: rows(spark, a, b), store, 449, skip=["u"], stride=3, progress=lambda p, d, n: done.append((len(p), d, n)))
+    assert done == [(3, 300, 450), (2, 450, 450)]
+    again = load_or_create(store, "c", tables, 100)
+    assert again.resume_block() == 400 and again.table("u").last() is None
+    report = build_index(spark, again, lambda t, a, b: rows(spark, a, b), store, 499, skip=["u"])
+    assert [(p.lower_bound, p.row_count, p.incomplete) for p in report.finished] == [(400, 100, False)]
+    # a build that is repeated with fewer rows leaves no row of the first
+    index = again.table("t")
+    for keep in ("true", "id >= 250"):
+        build_range(index, rows(spark, 0, 500).filter(keep), store, "c", 0, 500)
+    assert scan_index(spark, index, readable=store.readable).count() == 250 and index.ids() == [200, 300, 400]
+    build_range(index, rows(spark, 0, 0), store, "c", 0, 500)
+    assert index.ids() == [400] and index.next_block() == 500 and scan_index(spark, index).count() == 0
+    with pytest.raises(ValueError):
+        build_range(index, rows(spark, 0, 10).withColumn("x", F.lit(1)), store, "c", 0, 100)
+
+
+def test_upserted_is_add_after_add(spark):
+    entries = [("t", 100 * (i * 7 % 5), i, i % 3, f"f{i}") for i in range(40)]
+    df = spark.createDataFrame(entries, "table_name string, lower_bound bigint, entry bigint, x bigint, location string")
+    t = index()
+    for _, low, i, _, loc in entries:
+        t.add(BlockPartition("t", low, loc, WHEN, i, i))
+    assert {(r.lower_bound, r.location) for r in upserted(df, ["entry"], 100).collect()} == {(p.lower_bound, p.location) for p in t.ordered()}
+    with pytest.raises(Exception, match="no multiple"):
+        upserted(df, ["entry"], 70).collect()
+
+
+def test_location_parts(spark):
+    urls = ["file:///a/b.parquet", "s3a://bkt/p/q.parquet", "ipfs://abc", "S3A://b//x", "hdfs://n:9000/y?z#w"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", *[c.alias(n) for c, n in zip(location_parts(F.col("u")), ("s", "b", "p"), strict=True)]).collect()
+    assert [(r.s, r.b, r.p) for r in got] == [(Location(u).scheme, Location(u).bucket, Location(u).path) for u in urls]
+
+
 def test_config(monkeypatch, tmp_path):
     monkeypatch.setenv("ETH_RPC_API", "http://x")
     c = Config.load(str(tmp_path / "none.toml"))

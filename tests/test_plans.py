@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from blockloom.operators.builder import next_step
 from blockloom.plans.blocks import BlockSet, batches, islands, lossless, resolve_bounds
-from blockloom.plans.pruning import classify, conjuncts, is_pruner, kept, merged, surviving
+from blockloom.plans.pruning import classify, conjuncts, is_pruner, kept, merged, simple_bounds, surviving
 
 
 @given(st.lists(st.integers(0, 300)), st.integers(1, 20))
@@ -89,3 +89,10 @@ def test_merged_filters(spark):
     filters = ["b >= 100", "b >= 400"]
     assert df.filter(merged(filters)).count() == kept(df, filters).count() == 600
     assert df.filter(merged([])).count() == 1000
+
+
+def test_simple_bounds(spark):
+    assert simple_bounds(spark, ["(b >= 5L)", "`b` < 90", "b % 2 = 0", "c < 3"], "b") == (5, 90)
+    assert simple_bounds(spark, ["b = 7"], "b") == (7, 8) and simple_bounds(spark, ["b > 7", "b <= 9"], "b") == (8, 10)
+    assert surviving(spark, ["b > 150", "b % 100 = 50"], "b", _parts(5, 100)) == {200, 300, 400}
+    assert surviving(spark, ["b > 5000"], "b", _parts(5, 100)) == set()
