@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.session import written
+
 #: Distinct values a reading task combines before it hands on their counts.
 COMBINE = 1 << 17
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -144,6 +146,8 @@ def candidates(values: DataFrame, capacity: int = 1000, width_bits: int = 16, de
     hashed = values.select("side", "value", F.xxhash64("value").alias("h"))
     combined = hashed.mapInArrow(combine, "side string, value string, h bigint, n bigint")
     found = combined.repartition("side", "value").mapInArrow(sketch, "side string, value string, lower bigint, upper bigint, bound bigint")
+    # bounded, and read twice below
+    found = written(found, "candidates")
     totals = found.filter("value is null").groupBy("side", "value").agg(F.sum("lower").alias("lower"), F.sum("upper").alias("upper"), F.max("bound").alias("bound"))
     return found.filter("value is not null").unionByName(totals)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import hexes as H
 from blockloom.llm.frequent import candidates, heavy
-from blockloom.session import table, written
+from blockloom.session import table
 
 
 def _values(spark: SparkSession, base: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _values(spark: SparkSession, base: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     values = _values(spark, base)
-    found = written(candidates(values), "candidates")
+    found = candidates(values)
     total = found.filter("value is null").agg(F.max("lower")).first()[0] or 0
     return heavy(found, values, 0.01 * total).select("side", F.col("value").alias("address"))
 
