@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.mail import view
+from blockloom.session import written
 
 #: Hashed features; the weights take 4 bytes each wherever they are sent.
 FEATURES = 1 << 18
@@ -159,6 +160,15 @@ class Model:
         """Expected grade: the sum over thresholds of the chance to be above."""
         return (1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -30, 30)))).sum(axis=1)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Keep the model in a folder, so that it is fit once and applied often."""
+        spark.createDataFrame([(self.weights.tobytes(), self.thresholds.tolist())], "weights binary, thresholds array<double>").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        row = spark.read.parquet(path).first()
+        return Model(np.frombuffer(bytes(row.weights), np.float32), np.array(row.thresholds))
+
 
 def fit(docs: Sequence[tuple[list[np.ndarray], int]], **options) -> Model:
     """`fit_flat` on (features of each sentence, grade) of each document."""
@@ -242,12 +252,11 @@ def grade_labels(labels: DataFrame) -> DataFrame:
     return once.groupBy("doc_id").agg(F.when(F.min("abusive") > 0, 2).when(F.max("abusive") > 0, 1).otherwise(0).cast("int").alias("grade"))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
-    """Fit on at most `limit` labelled documents, chosen by hash of doc_id.
+_CODED = "doc_id bigint, grade int, n int, index array<int>, at array<int>"
 
-    One task fits; only the weights come to the driver. Of repeated documents each
-    row counts.
-    """
+
+def _coded(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """The features of at most `limit` labelled documents, chosen by hash of doc_id: the number of their sentences, and each feature with its sentence."""
     graded = grade_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,25 +272,65 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(indices, pa.list_(pa.int32())), pa.array(wheres, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "grade", "n", "index", "at"])
 
+    # the sample is bounded by `limit`, so it is sent to the documents instead of shuffling their texts
+    picked = docs.select("doc_id", "text").join(F.broadcast(graded), "doc_id").select("doc_id", "grade", F.col("text").cast("string"))
+    return picked.mapInArrow(split, _CODED)
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Features, the sentence of each, the document of each sentence, and the grades, of documents in a fixed order."""
+    t = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+    n = t["n"].to_numpy()
+    index, at = (t[c].combine_chunks().flatten().to_numpy() for c in ("index", "at"))
+    each = np.diff(t["index"].combine_chunks().offsets.to_numpy())
+    return index, at + np.repeat(np.cumsum(n) - n, each), np.repeat(np.arange(len(n)), n), t["grade"].to_numpy().astype(np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
+    """Fit on at most `limit` labelled documents, chosen by hash of doc_id.
+
+    One task fits; only the weights come to the driver. Of repeated documents each
+    row counts.
+    """
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
-        if held:
-            t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("n", "ascending")])
-            n = t["n"].to_numpy()
-            index, at = (t[c].combine_chunks().flatten().to_numpy() for c in ("index", "at"))
-            each = np.diff(t["index"].combine_chunks().offsets.to_numpy())
-            model = fit_flat(index, at + np.repeat(np.cumsum(n) - n, each), np.repeat(np.arange(len(n)), n), t["grade"].to_numpy().astype(np.int64))
-        else:
-            model = fit([])
+        model = fit_flat(*_flat(pa.Table.from_batches(held))) if held else fit([])
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
 
-    # the sample is bounded by `limit`, so it is sent to the documents instead of shuffling their texts
-    picked = docs.select("doc_id", "text").join(F.broadcast(graded), "doc_id").select("doc_id", "grade", F.col("text").cast("string"))
-    coded = picked.mapInArrow(split, "doc_id bigint, grade int, n int, index array<int>, at array<int>")
-    got = coded.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").collect()
+    got = _coded(docs, labels, limit).repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").collect()
     return Model(np.frombuffer(bytes(got[0].weights), np.float32), np.array(got[0].thresholds)) if got else fit([])
 
 
+def cross_validate(docs: DataFrame, labels: DataFrame, folds: int = 5, l2s: Sequence[float] = (0.001, 0.01, 0.1), limit: int = MAX_LABELLED) -> DataFrame:
+    """l2, doc_id, grade, severity: each labelled document as a model sees it that was fit without it.
+
+    For the choice of the regularisation and of the severity from which a document
+    counts, by the labels alone. Each of the folds x l2s fits is a task of its own,
+    which holds the bounded sample.
+    """
+    sample = written(_coded(docs, labels, limit).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int")), "sample")
+    plans = F.array(*[F.struct(F.lit(float(x)).alias("l2"), F.lit(k).alias("out")) for x in l2s for k in range(folds)])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            # a task may have got several fits
+            for key in {*zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)}:
+                mine = (batch.column(6).to_numpy() == key[0]) & (batch.column(7).to_numpy() == key[1])
+                held.setdefault(key, []).append(batch.filter(pa.array(mine)))
+        for (l2, out), parts in held.items():
+            table = pa.Table.from_batches(parts)
+            inside = table["fold"].to_numpy() != out
+            model = fit_flat(*_flat(table.filter(pa.array(inside))), l2=l2)
+            for row in table.filter(pa.array(~inside)).to_pylist():
+                index, at = np.array(row["index"], np.int64), np.array(row["at"], np.int64)
+                top = model.scores(index, at, row["n"]).max() if row["n"] else 0.0
+                yield pa.RecordBatch.from_arrays([pa.array([l2]), pa.array([row["doc_id"]], pa.int64()), pa.array([row["grade"]], pa.int32()), pa.array(model.expected(np.array([top])))], names=["l2", "doc_id", "grade", "severity"])
+
+    return sample.select("*", F.explode(plans).alias("p")).select("doc_id", "grade", "n", "index", "at", "fold", "p.l2", "p.out").repartition(folds * len(l2s), "l2", "out").mapInArrow(judge, "l2 double, doc_id bigint, grade int, severity double")
+
+
 def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     """columns, severity: expected grade (0 to 2) of each document's worst sentence.
 

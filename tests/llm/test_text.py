@@ -276,7 +276,7 @@ def test_encoder_agrees():
     assert [sorted(r.tolist()) for r in rows] == [sorted(index[where == i].tolist()) for i in range(3)] and len(rows[1]) == 0
 
 
-def test_score(spark):
+def test_score(spark, tmp_path):
     rows = [(i, t, "src", 0.5) for i, t, _, _ in sample(150, 3)] + [(900, None, None, 0.0), (901, "", "s", 0.0), (902, mail("Please wait. " * 30_000), "s", 0.0), (0, "repeated", "s", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, severity double")
     labels = [(i, 1, int(y), None) for i, _, _, y in sample(150, 3)] + [(3, 2, None, None), (None, 1, 1, None), (7777, 1, 1, "insult")]
@@ -287,6 +287,14 @@ def test_score(spark):
     assert {r.doc_id: r.severity for r in got}[900] == {r.doc_id: r.severity for r in got}[901]
     graded = {r.doc_id: r.grade for r in S.grade_labels(spark.createDataFrame([(1, 1, 1), (1, 2, 0), (2, 1, 1), (2, 2, 1), (3, 1, 0), (4, 1, None), (5, 1, 0), (5, 1, 1)], "doc_id bigint, rater bigint, abusive bigint")).collect()}
     assert graded == {1: 1, 2: 2, 3: 0, 5: 2}
+    path = f"{tmp_path}/model"
+    model.save(spark, path)
+    back = S.Model.load(spark, path)
+    assert (back.weights == model.weights).all() and (back.thresholds == model.thresholds).all()
+    out = S.cross_validate(docs, lab, folds=3, l2s=(0.01,)).collect()
+    known = {i for i, *_ in labels if i is not None and i != 7777}
+    assert {x.doc_id for x in out} == known and len(out) == len(known) + 1  # document 0 is there twice
+    assert np.mean([(x.severity >= 1) == (x.grade == 2) for x in out]) > 0.75
     none = S.train(docs, lab.limit(0))
     assert S.score(docs, none).count() == len(rows) and S.score(docs.limit(0), model).count() == 0
 
