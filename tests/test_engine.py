@@ -112,11 +112,11 @@ def test_build_failure(spark, tmp_path):
 
     def give(table, a, b):
         if table == "bad":
-            raise RuntimeError("testy error message")
+            raise RuntimeError("made to fail")
         return rows(spark, a, b)
 
     report = build_index(spark, m, give, store, 100)
-    assert len(report.finished) == 1 and len(report.failed) == 1 and "testy" in report.failed[0][2]
+    assert len(report.finished) == 1 and len(report.failed) == 1 and "made to fail" in report.failed[0][2]
     assert store.load("index.json") is None
     assert len(build_index(spark, Manifest.from_json(Manifest("c", 10).to_json()), give, store, 5, skip=["bad"]).failed) == 0
 
@@ -126,7 +126,7 @@ def synthetic(head=1000):
         return [{"id": hex(n), "hash": "0x" + n.to_bytes(32, "big").hex()} for n in numbers]
 
     c = (ColumnSpec("id", BLOCK_NUMBER, False, L.hex_to_int(F.col("id"))), ColumnSpec("hash", fixed_bytes(32), False, L.decode_hex(F.col("hash"))))
-    return ChainSpec("testy", {"t": EntitySpec("t", "id", c, fetch, "id string, hash string")}, lambda: head, 100)
+    return ChainSpec("made", {"t": EntitySpec("t", "id", c, fetch, "id string, hash string")}, lambda: head, 100)
 
 
 def test_live(spark):
@@ -166,22 +166,22 @@ def test_engine(spark, tmp_path):
     e = Engine(spark)
     e.add_chain(ChainSpec("eth", {"t": EntitySpec("t", "id", c)}, lambda: 999, 100), m)
     e.add_chain(synthetic())
-    assert e.tables() == [("eth", "t"), ("testy", "t")] and e.describe("t").count() == 2
+    assert e.tables() == [("eth", "t"), ("made", "t")] and e.describe("t").count() == 2
     df = e.sql("SELECT count(*) AS n FROM eth.t a WHERE a.id >= current_block('eth') - 49 AND 'eth.t' <> ''")
     assert df.first().n == 50 and len(df.inputFiles()) == 1
     assert len({f.rsplit("/", 1)[0] for f in e.sql("SELECT * FROM t WHERE floor(id / 100) IN (3, 5)").inputFiles()}) == 2
     both = e.sql("SELECT a.id FROM t a JOIN t b ON a.id = b.id + 500 WHERE a.id < 600 AND b.id % 100 = 1")
     assert [r.id for r in both.collect()] == [501]
     assert e.sql("SELECT count(*) AS n FROM t").first().n == 1000
-    live = e.sql("SELECT x.id, t.text FROM testy.t x JOIN t ON t.id = x.id WHERE x.id % 100 = 7 AND x.hash IS NOT NULL")
+    live = e.sql("SELECT x.id, t.text FROM made.t x JOIN t ON t.id = x.id WHERE x.id % 100 = 7 AND x.hash IS NOT NULL")
     assert sorted(r.id for r in live.collect()) == list(range(7, 1000, 100))
     with pytest.raises(ValueError):
-        e.sql("SELECT * FROM testy.t")
-    assert {tuple(r) for r in e.sql("SHOW TABLES").collect()} == {("eth", "t"), ("testy", "t")} == {tuple(r) for r in e.sql("SELECT * FROM information_schema.tables").collect()}
-    assert e.sql("describe testy.t").count() == 2 and e.sql("SELECT column_name FROM information_schema.columns WHERE table_schema = 'eth'").count() == 2
+        e.sql("SELECT * FROM made.t")
+    assert {tuple(r) for r in e.sql("SHOW TABLES").collect()} == {("eth", "t"), ("made", "t")} == {tuple(r) for r in e.sql("SELECT * FROM information_schema.tables").collect()}
+    assert e.sql("describe made.t").count() == 2 and e.sql("SELECT column_name FROM information_schema.columns WHERE table_schema = 'eth'").count() == 2
     assert e.sql("SELECT t.id FROM t WHERE t.id = 5 UNION ALL SELECT id FROM t LIMIT 3").count() == 3
     e.set_window(last_n=30)
-    assert e.table("t").count() == 30 and e.sql("SELECT count(*) AS n FROM t").first().n == 30 and e.table("testy.t").count() == 30
+    assert e.table("t").count() == 30 and e.sql("SELECT count(*) AS n FROM t").first().n == 30 and e.table("made.t").count() == 30
     with pytest.raises(LookupError):
         e.table("eth.none")
     bad = synthetic()
@@ -333,7 +333,7 @@ def test_sql_forms(spark, tmp_path):
     assert df.count() == 30 and len(df.inputFiles()) == 1
     assert "GreaterThanOrEqual(id,950)" in e.sql("EXPLAIN FORMATTED SELECT * FROM t WHERE id >= 950").first().plan
     # a table without an index and without a condition can be explained, but not read
-    assert "Physical Plan" in e.sql("EXPLAIN SELECT * FROM testy.t").first().plan
+    assert "Physical Plan" in e.sql("EXPLAIN SELECT * FROM made.t").first().plan
     # files that lie in none of the configured stores are refused
     e.add_store(StorageConf("file", str(tmp_path)))
     assert e.sql("SELECT count(*) AS n FROM t").first().n == 1000
