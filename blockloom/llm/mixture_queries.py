@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.mixture import MAX_LEAVES, Node, plan, select_prefixes, short, with_tokens
+from blockloom.llm.mixture import MAX_LEAVES, VOCABULARY, Node, plan, select_prefixes, short, with_tokens
 from blockloom.session import few, table, written
 
 #: Domain of each source; sources not named belong to `mail`.
@@ -15,7 +15,7 @@ DOMAINS = {"newsletters": "bulk", "alerts": "bulk", "lists": "bulk"}
 def _tokens(spark: SparkSession, base: str) -> DataFrame:
     """doc_id, source, lang, n_tokens: counted once and kept, for the plan and the choice both read it."""
     docs = table(spark, base, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"), "text")
-    return written(with_tokens(docs, ["doc_id", "source", "lang"]), "tokens")
+    return written(with_tokens(docs, ["doc_id", "source", "lang"], spark.conf.get("blockloom.vocabulary", VOCABULARY)), "tokens")
 
 
 def _plan(spark: SparkSession, base: str, tokens: DataFrame) -> tuple[Node, int, dict[str, tuple[float, int]]]:
