@@ -234,7 +234,8 @@ def merge_runs(runs: DataFrame, keys: Sequence[str], bits: int | None = None, pe
             coarse = own < wide
             rest = batch.filter(pa.array(~coarse))
             if len(rest):
-                yield rest.select(names)
+                # rebuilt, as all batches of a task must agree in which columns may be null
+                yield pa.RecordBatch.from_arrays([rest.column(rest.schema.get_field_index(c)) for c in names], names=names)
             out = _Runs(names[:-2])
             for row in batch.filter(pa.array(coarse)).to_pylist():
                 hashes = decode(row["run"], _base(row["bits"], row["bucket"]))

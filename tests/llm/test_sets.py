@@ -68,6 +68,10 @@ def test_widths(spark):
 
     same = D.merge_runs(runs(range(1000), 3).unionByName(runs(range(1000), 4)).unionByName(runs(range(500, 1500), 0)), ["g"], per_run=1 << 20)
     assert {(r.g, r.n_distinct) for r in D.counts(same, ["g"]).collect()} == {("x", 1350), ("small", 150)} and {r.bits for r in same.collect()} == {4}
+    # whole and split runs in one task
+    mixed = D.build_runs(spark.createDataFrame([("x" if i % 10 else "small", i) for i in range(1000)], "g string, a bigint"), ["g"], {"a": F.col("a")})
+    one = D.merge_runs(D.grouping_sets(mixed.unionByName(runs(range(1000), 4)), ["g"], [["g"], []]).coalesce(1), ["g"], per_run=500)
+    assert {(r.g, r.n_distinct) for r in D.counts(one, ["g"]).collect()} == {("x", 900), ("small", 100), ("all", 1000)}
     wider = D.merge_runs(runs(range(1000), 0), ["g"], per_run=64)
     assert {(r.g, r.bits) for r in wider.collect()} == {("x", 4), ("small", 1)}
     for n in (2000, 20_000):
